@@ -113,9 +113,10 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", key:
     lines = F.filter(F.split("text", "\n"), possible)
     lines = F.when(possible(F.col("text")), lines).otherwise(F.array().cast("array<string>"))
     units = F.when(is_license, F.concat(lines, F.array("text"))).otherwise(lines)
-    held = save(f.select("key", "path", is_license.alias("is_license"), F.explode(units).alias("unit")).distinct())
-    scores = save(_unit_scores(held.select(F.col("unit").alias("key"), "unit").distinct(), templates, threshold).withColumnRenamed("key", "unit"))
-    own = held.join(scores, "unit").groupBy("key", "path").agg(F.max(F.struct("score", "license")).alias("b"), F.max("is_license").alias("is_license"))
+    held = f.select("key", "path", is_license.alias("is_license"), F.explode(units).alias("unit"))
+    held = save(held.withColumn("id", F.struct(F.xxhash64("unit").alias("x"), F.xxhash64(F.lit(1), "unit").alias("y"))))  # 128 bits stand for a unit in shuffles
+    scores = save(_unit_scores(held.groupBy(F.col("id").alias("key")).agg(F.min("unit").alias("unit")), templates, threshold).withColumnRenamed("key", "id"))
+    own = held.select("key", "path", "is_license", "id").distinct().join(scores, "id").groupBy("key", "path").agg(F.max(F.struct("score", "license")).alias("b"), F.max("is_license").alias("is_license"))
     own = save(own.select("key", "path", "is_license", "b.score", "b.license"))
     directory = ancestors(F.col("path"))[0]
     given = own.where("is_license").groupBy(directory.alias("dir")).agg(F.max(F.struct("score", "license")).alias("b")).select("dir", F.col("b.license").alias("inherited"))
