@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, quality
+from . import bpe, decontaminate, licenses, pii, quality, simhash
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
+    "op4_pii": pii.op4_pii,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_licenses": licenses.op8_licenses,
+    "op9_bpe": bpe.op9_bpe,
 }
 ORACLES = {"op6_decontaminate": decontaminate.SQL}
