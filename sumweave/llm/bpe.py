@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -55,6 +56,7 @@ class ChunkEncoder:
     """
 
     def __init__(self, file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of a pool would only spin
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(file)
