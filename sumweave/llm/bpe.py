@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from .common import load
 
 #: Bytes that the rolling hash sees, and one in how many spaces ends a chunk on average.
-WINDOW, EVERY = 8, 16
+WINDOW, EVERY = 8, 64
 #: Entries beyond which a cache starts anew, and characters that are encoded between two such checks.
-CHUNKS, WORDS, JOINS, BATCH_CHARS = 100_000, 700_000, 200_000, 3_000_000
+CHUNKS, WORDS, JOINS, BATCH_CHARS = 40_000, 500_000, 100_000, 3_000_000
+#: Punctuation that is tried as an end of words which are otherwise known.
+TAILS = ".,;:!?*#$%&|"
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -62,9 +64,13 @@ class ChunkEncoder:
         self.t = Tokenizer.from_file(file)
         self.t.no_truncation()
         self.t.no_padding()
-        self.chunks, self.words, self.joins = _Cache(), _Cache(), _Cache()
+        self.chunks, self.words, self.cores, self.joins = _Cache(), _Cache(), _Cache(), _Cache()
         self.mark = self._special()
-        self.by_word = self._blanks_always_split(json.loads(self.t.to_str()))
+        spec = json.loads(self.t.to_str())
+        self.by_word = self._blanks_always_split(spec)
+        # without a decoder the library joins the tokens by spaces
+        self.tokens = None if spec.get("decoder") else {i: w for w, i in self.t.get_vocab(with_added_tokens=True).items()}
+        self.folds = self.by_word and self._tails_split()
 
     @staticmethod
     def _blanks_always_split(spec: dict) -> bool:
@@ -98,10 +104,29 @@ class ChunkEncoder:
                 return token.content, i
         return "", -1
 
+    def _tails_split(self) -> bool:
+        """Whether punctuation after a letter is always a piece of its own, and capitals of ASCII are as good as small letters."""
+        pieces = [self.t.pre_tokenizer.pre_tokenize_str(f"a{x}{y}") for x in TAILS for y in TAILS]
+        same = self._library(["Zq", "ABCDEFGHIJKLM", "NOPQRSTUVWXYZ"]) == self._library(["zq", "abcdefghijklm", "nopqrstuvwxyz"])
+        return same and all(len(p) == 2 and p[0][0] == "a" for p in pieces)
+
     def _learn(self, words: set[str]) -> None:
-        """Puts the words that aren't in the cache there."""
+        """Puts the words that aren't in the cache there. Words that differ in ASCII capitals or in punctuation at the end share
+        what is encoded, where the tokenizer treats these apart."""
         missing = list(words - self.words.keys())
-        self.words.update(zip(missing, self._short(missing), strict=True))
+        if not self.folds:
+            self.words.update(zip(missing, self._short(missing), strict=True))
+            return
+        parts = []
+        for w in missing:
+            c = w.rstrip(TAILS)
+            tail = w[len(c) :] if c and c[-1].isalpha() and c[-1].lower().isalpha() else ""
+            c = c if tail else w
+            parts.append((c.lower() if c.isascii() and "<" not in c else c, tail))
+        new = list({x for p in parts for x in p} - self.cores.keys())
+        self.cores.update(zip(new, self._short(new), strict=True))
+        got = self.cores
+        self.words.update((w, got[c] + got[tail] if tail else got[c]) for w, (c, tail) in zip(missing, parts, strict=True))
 
     def _encode_new(self, chunks: list[str]) -> None:
         """Encodes chunks that are in no cache."""
@@ -140,7 +165,7 @@ class ChunkEncoder:
             data = t.encode("utf-8", "surrogatepass")
             edges = [0, *cuts(data), len(data)]
             cut.append([data[x:y].decode("utf-8", "surrogatepass") for x, y in zip(edges, edges[1:], strict=False)])
-        for cache, most in ((self.chunks, CHUNKS), (self.words, WORDS), (self.joins, JOINS)):
+        for cache, most in ((self.chunks, CHUNKS), (self.words, WORDS), (self.cores, WORDS), (self.joins, JOINS)):
             cache.trim(most)
         self._encode_new(list({c for t in cut for c in t} - self.chunks.keys()))
         ends = [[(a.rsplit(" ", 1)[-1], b[: b.find(" ", 1)] if b.find(" ", 1) > 0 else b) for a, b in zip(t, t[1:], strict=False)] for t in cut]
@@ -155,6 +180,9 @@ class ChunkEncoder:
             yield b"".join(ids)
 
     def decode(self, ids: list[bytes]) -> list[str]:
+        if self.tokens is not None:
+            token = self.tokens.__getitem__
+            return [" ".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in ids]
         return self.t.decode_batch([np.frombuffer(x, "<u4").tolist() for x in ids], skip_special_tokens=False)
 
 
