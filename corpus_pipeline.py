@@ -1 +1,54 @@
-def run(spark, d): raise NotImplementedError
+"""The corpus pipeline: STAGES, each over all that its predecessor kept, and run(spark, sf_dir)."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sumweave.llm.bpe import bpe_round_trip, default_file
+from sumweave.llm.common import load, shared_folder
+from sumweave.llm.decontaminate import without_leaks
+from sumweave.llm.pii import redact
+from sumweave.llm.quality import keep_good
+from sumweave.llm.simhash import keep_first
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules and their EM posterior keep."""
+    return keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component: the one with the smallest id."""
+    return keep_first(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item inside."""
+    return without_leaks(docs, load(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return redact(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and digests of every document."""
+    return bpe_round_trip(docs, default_file(), outputs=False)
+
+
+STAGES = [("quality", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("personal_data", personal_data), ("tokens", tokens)]
+#: SQL expresses neither the Hamming components nor the CRF nor BPE.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents; each result but the last is written as Parquet to the shared folder and read again."""
+    docs = load(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -52,12 +52,20 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def save(df: DataFrame) -> DataFrame:
-    """Write to the cluster's shared checkpoint folder and read back: computed once, survives lost executors."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named, as in tests."""
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        named = tempfile.mkdtemp(prefix="checkpoint-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(named)
+    return named
+
+
+def save(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back: computed once, survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
