@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, html_text, licenses, pii, quality, simhash, toxicity
+from . import bpe, chat, decontaminate, html_text, licenses, lm, pii, quality, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_simhash": simhash.op2_simhash,
+    "op3_lm_scores": lm.op3_lm_scores,
     "op4_pii": pii.op4_pii,
     "op5_html_text": html_text.op5_html_text,
     "op6_decontaminate": decontaminate.op6_decontaminate,
