@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -59,16 +60,25 @@ class Network:
 
     def inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For distinct words: word ids, their n-grams in one row with counts, and the joined embeddings."""
-        ids = np.array([self.words.get(w, 0) for w in words], np.int64)
-        grams = [ngrams(w) for w in words]
-        count = np.array([len(g) for g in grams], np.int64)
-        flat = np.array([x for g in grams for x in g], np.int64)
+        ids = np.fromiter((self.words.get(w, 0) for w in words), np.int32, len(words))
+        flat, count = array("i"), array("i")
+        for w in words:
+            g = ngrams(w)
+            flat.extend(g)
+            count.append(len(g))
+        flat, count = np.array(flat, np.int32), np.array(count, np.int32)
         return ids, flat, count, self.embed(ids, flat, count)
 
     def embed(self, ids: np.ndarray, flat: np.ndarray, count: np.ndarray) -> np.ndarray:
-        starts = np.cumsum(count) - count
-        chars = np.add.reduceat(self.p["char"][flat], starts, axis=0) / np.sqrt(count)[:, None] if len(count) else np.zeros((0, EMBED))
-        return np.concatenate([self.p["word"][ids], chars], axis=1).astype(np.float32)
+        out = np.empty((len(ids), 2 * EMBED), np.float32)
+        out[:, :EMBED] = self.p["word"][ids]
+        ends = np.cumsum(count)
+        for k in range(0, len(ids), 20_000):  # bounds what is gathered at once
+            n = count[k : k + 20_000]
+            begin = ends[k : k + 20_000] - n
+            chars = np.add.reduceat(self.p["char"][flat[begin[0] : begin[0] + n.sum()]], begin - begin[0], axis=0)
+            out[k : k + 20_000, EMBED:] = chars / np.sqrt(n, dtype=np.float32)[:, None]
+        return out
 
     def project(self, x: np.ndarray) -> np.ndarray:
         return x @ self.p["in"] + self.p["bias"]
@@ -207,14 +217,20 @@ class Scorer:
         return 1 / (1 + np.exp(-(self.net.slope * self.raw(texts) + self.net.shift)))
 
 
-def train(texts: list[str], labels: list[int], odds: float | None = None, epochs: int = 14, seed: int = 7) -> Network:
+def train(texts: list[str], labels: list[int], odds: float | None = None, epochs: int = 10, seed: int = 7) -> Network:
     """A network that learns from labelled texts. odds: of label 1 in the population, for the score.
 
     A label holds for a text, not for each window: after two epochs over random windows each text is learnt by its highest window (and
     a text of label 0 by a random one, too).
     """
     r = np.random.default_rng(seed)
-    split = [[core(w) for w in t.split()] for t in texts]
+    cores: dict[str, str] = {}  # one object for each word
+
+    def core_of(w: str) -> str:
+        c = core(w)
+        return cores.setdefault(c, c)
+
+    split = [[core_of(w) for w in t.split()] for t in texts]
     seen = Counter(w for s in split for w in set(s))
     vocabulary = [w for w, n in sorted(seen.items(), key=lambda e: (-e[1], e[0]))[:VOCABULARY] if n > 1]
     net = Network.new({w: k + 1 for k, w in enumerate(vocabulary)}, seed)
@@ -226,9 +242,10 @@ def train(texts: list[str], labels: list[int], odds: float | None = None, epochs
     words = sorted(seen)
     index = {w: k for k, w in enumerate(words)}
     ids, grams, count, _ = net.inputs(words)
-    begin = np.cumsum(count) - count
+    begin = np.cumsum(count, dtype=np.int64) - count
     lengths = np.array([len(s) for s in split], np.int64)
-    flat = np.array([index[w] for s in split for w in s], np.int64)
+    flat = np.fromiter((index[w] for s in split for w in s), np.int32, int(lengths.sum()))
+    del split, cores, seen, index, words
     doc, start = windows(lengths)
     first = np.searchsorted(doc, np.arange(len(y)))
     many = np.bincount(doc, minlength=len(y))
@@ -239,7 +256,7 @@ def train(texts: list[str], labels: list[int], odds: float | None = None, epochs
     draw = weight / weight.sum()
     best = None
     for epoch in range(epochs):
-        if epoch >= 2:
+        if epoch >= 2 and epoch % 2 == 0:
             table = net.project(net.embed(ids, grams, count))
             s = np.concatenate([net.forward(table, rows_of(flat, lengths, doc[k : k + BATCH], start[k : k + BATCH])) for k in range(0, len(doc), BATCH)])
             order = np.lexsort((s, doc))
