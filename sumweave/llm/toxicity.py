@@ -298,8 +298,8 @@ def train(texts: list[str], labels: list[int], odds: float | None = None, epochs
     for _ in range(300):
         q = 1 / (1 + np.exp(-(a * s + b)))
         e, v = weight * (q - y), weight * q * (1 - q) + 1e-6
-        hessian = np.array([[np.sum(v * s * s) + 1e-2, np.sum(v * s)], [np.sum(v * s), np.sum(v) + 1e-2]])
-        move = np.linalg.solve(hessian, [np.sum(e * s) + 1e-2 * (a - 1), np.sum(e)])
+        hessian = np.array([[np.sum(v * s * s) + 20.0, np.sum(v * s)], [np.sum(v * s), np.sum(v) + 1e-2]])
+        move = np.linalg.solve(hessian, [np.sum(e * s) + 20.0 * (a - 1), np.sum(e)])
         a, b = a - 0.5 * move[0], b - 0.5 * move[1]
     net.slope, net.shift = float(max(a, 1e-3)), float(b + np.log(odds if odds else y.sum() / (len(y) - y.sum())))
     return net
