@@ -47,6 +47,12 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def slices(column, rows: int = 500):
+    """The values of an Arrow column as lists of at most so many, so that a worker never has a whole batch as Python objects."""
+    for k in range(0, len(column), rows):
+        yield column.slice(k, rows).to_pylist()
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once for each row however often body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -75,8 +75,9 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = CONTAI
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
     """The rows of docs whose id has no item inside."""
-    leaks = save(contained_items(docs, items, threshold).select(F.col("doc_id").alias("_leak")).distinct())
-    return docs.join(broadcast_if_small(leaks), F.expr("doc_id <=> _leak"), "left_anti")
+    leaks = save(contained_items(docs, items, threshold).select(F.col("doc_id").alias("leak")).distinct())
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct("*").alias("row"))  # the row's own names can't clash with others
+    return rows.join(broadcast_if_small(leaks), F.expr("id <=> leak"), "left_anti").select("row.*")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, load, save
+from .common import components, load, save, slices
 
 SHINGLE = 3
 SEED = 42
@@ -42,7 +42,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = pa.array([fingerprint(t) for t in b.column(1).to_pylist()], pa.int64())
+            fps = pa.array([fingerprint(t) for part in slices(b.column(1)) for t in part], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), fps], ["doc_id", "fp"])
 
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -178,13 +178,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that stand for their component: the one with the smallest id; of rows repeating that id one."""
     found = save(near_duplicates(docs))
-    first = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    kept = docs.join(first.select(F.col("doc_id").alias("_kept"), "n"), F.expr("doc_id <=> _kept"))
-    columns = docs.columns
-    if not first.where("n > 1").limit(1).count():
-        return kept.select(*columns)
-    once, more = kept.where("n = 1").select(*columns), kept.where("n > 1").select(*columns)
-    return once.unionByName(more.dropDuplicates(["doc_id"]))
+    first = save(found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("first")).agg(F.count(F.lit(1)).alias("times")))
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct("*").alias("row"))  # the row's own names can't clash with others
+    kept = rows.join(first, F.expr("id <=> first"))
+    if not first.where("times > 1").limit(1).count():
+        return kept.select("row.*")
+    once, more = kept.where("times = 1"), kept.where("times > 1")
+    return once.select("row.*").unionByName(more.groupBy("id").agg(F.min("row").alias("row")).select("row.*"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
