@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, load
+from .common import bucket_of, load, slices
 
 #: Words in a window and from one window to the next; the last words of a window are the first of the next.
 WINDOW, STEP = 48, 36
@@ -31,11 +30,28 @@ def core(word: str) -> str:
     return word.lower().strip(_EDGES)
 
 
-def ngrams(word: str) -> list[int]:
-    """Hashed character sequences of a word with marked ends: the characters that the network reads."""
-    w = f"^{word[:40]}$"
-    found = {w[i : i + n] for n in (3, 4, 6) for i in range(max(1, len(w) - n + 1))}
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % NGRAMS for g in sorted(found)]
+def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters that the network reads: hashed sequences of 3, 4 and 6 characters of each word with marked ends.
+
+    Returns the hashes of all words in a row, and how many each word has; all words are hashed together, as one array of code points.
+    """
+    marked = [f"^{w[:40]}$" if w else "^$$" for w in words]
+    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    word = np.repeat(np.arange(len(words)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(points))  # characters up to the word's end
+    hashes, owners = [], []
+    for n in (3, 4, 6):
+        at = np.flatnonzero(left >= n)
+        h = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            h = (h * np.uint64(0x100000001B3)) ^ points[at + k]
+        h ^= h >> np.uint64(29)
+        hashes.append(((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(NGRAMS))
+        owners.append(word[at])
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(hashes)[order].astype(np.int32), np.bincount(owner, minlength=len(words)).astype(np.int32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -61,12 +77,8 @@ class Network:
     def inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For distinct words: word ids, their n-grams in one row with counts, and the joined embeddings."""
         ids = np.fromiter((self.words.get(w, 0) for w in words), np.int32, len(words))
-        flat, count = array("i"), array("i")
-        for w in words:
-            g = ngrams(w)
-            flat.extend(g)
-            count.append(len(g))
-        flat, count = np.array(flat, np.int32), np.array(count, np.int32)
+        parts = [ngrams(words[k : k + 20_000]) for k in range(0, len(words), 20_000)]
+        flat, count = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (tuple(zip(*parts, strict=True)) or ((), ())))
         return ids, flat, count, self.embed(ids, flat, count)
 
     def embed(self, ids: np.ndarray, flat: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -179,22 +191,22 @@ class Scorer:
     """Scores texts with a network; keeps the projections of words it has seen, within a bound."""
 
     def __init__(self, net: Network):
-        self.net, self.index, self.cores = net, {}, {}
+        self.net, self.index, self.seen = net, {}, {}  # rows of the table by core, and by the word as it stands in texts
         self.table = np.zeros((0, 6 * HIDDEN), np.float32)
 
     def _rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > CACHE or len(self.cores) > 2 * CACHE:
-            self.index, self.cores, self.table = {}, {}, self.table[:0]
+        if len(self.index) > CACHE or len(self.seen) > 2 * CACHE:
+            self.index, self.seen, self.table = {}, {}, self.table[:0]
         split = [t.split() for t in texts]
-        raw = set().union(*split) - self.cores.keys()
-        self.cores.update((w, core(w)) for w in raw)
-        new = list({self.cores[w] for w in raw} - self.index.keys())
+        unknown = set().union(*split) - self.seen.keys()
+        cores = {w: core(w) for w in unknown}
+        new = list(set(cores.values()) - self.index.keys())
         if new:
             self.table = np.concatenate([self.table, self.net.project(self.net.inputs(new)[3])])
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        row = {w: self.index[self.cores[w]] for w in set().union(*split)}
+        self.seen.update((w, self.index[c]) for w, c in cores.items())
         lengths = np.array([len(s) for s in split], np.int64)
-        return np.fromiter((x for s in split for x in map(row.__getitem__, s)), np.int64, int(lengths.sum())), lengths
+        return np.fromiter(map(self.seen.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum())), lengths
 
     def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Documents, first words and logits of all windows."""
@@ -332,22 +344,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net)
         for b in batches:
-            texts = [t or "" for t in b.column(2).to_pylist()]
-            score, k = np.zeros(len(texts)), 0
-            for end in [*_cuts(texts), len(texts)]:
-                score[k:end] = scorer.scores(texts[k:end])
-                k = end
+            score = np.concatenate([np.zeros(0), *(scorer.scores([t or "" for t in part]) for part in slices(b.column(2)))])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     d = docs.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
-def _cuts(texts: list[str], chars: int = 2_000_000) -> list[int]:
-    """Where to cut a batch so that the parts have about so many characters."""
-    ends = np.cumsum([len(t) for t in texts])
-    return sorted({int(np.searchsorted(ends, x)) + 1 for x in range(chars, int(ends[-1]) if len(ends) else 0, chars)} - {len(texts)})
-
-
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
