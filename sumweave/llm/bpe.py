@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -13,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import load, slices
 
 #: Bytes that the rolling hash sees, and one in how many spaces ends a chunk on average.
 WINDOW, EVERY = 8, 64
 #: Entries beyond which a cache starts anew, and characters that are encoded between two such checks.
-CHUNKS, WORDS, JOINS, BATCH_CHARS = 40_000, 500_000, 100_000, 3_000_000
+CHUNKS, WORDS, JOINS, BATCH_CHARS = 40_000, 300_000, 50_000, 3_000_000
 #: Punctuation that is tried as an end of words which are otherwise known.
 TAILS = ".,;:!?*#$%&|"
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -192,7 +192,7 @@ def encoder(file: str) -> ChunkEncoder:
     return ChunkEncoder(file)
 
 
-def _parts(texts: list[str], chars: int = BATCH_CHARS) -> Iterator[list[str]]:
+def _parts(texts: Iterable[str], chars: int = BATCH_CHARS) -> Iterator[list[str]]:
     part, n = [], 0
     for t in texts:
         part.append(t)
@@ -217,7 +217,7 @@ def bpe_round_trip(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str
         e = encoder(file)
         for b in batches:
             row = 0
-            for part in _parts([t or "" for t in b.column(1).to_pylist()]):
+            for part in _parts(t or "" for texts in slices(b.column(1)) for t in texts):
                 ids = list(e.encode(part))
                 decoded = e.decode(ids)
                 columns = {
