@@ -105,3 +105,32 @@ def preference_rows(turns: DataFrame, conv_id: str = "conv_id", turn: str = "tur
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_rows(load(spark, sf_dir, "conversations"))
+
+
+_WRITE = "concat('<|im_start|>', x.role, chr(10), x.text, '<|im_end|>', chr(10))"
+
+
+def _shown(turns: str) -> str:
+    return f"array_to_string(list_transform({turns}, lambda x: {_WRITE}), '')"
+
+
+def _masks(turns: str) -> str:
+    upto = lambda n: f"CAST(coalesce(list_sum(list_transform({turns}[1:{n}], lambda x: length({_WRITE}))), 0) AS BIGINT)"
+    span = f"concat({upto('i - 1')} + length('<|im_start|>') + length({turns}[i].role) + 1, ':', {upto('i')} - 1)"
+    return f"array_to_string(list_transform(list_filter(range(1, len({turns}) + 1), lambda i: {turns}[i].role = '{LEARNED}'), lambda i: {span}), ',')"
+
+
+#: The same rows from DuckDB.
+SQL = f"""
+WITH c AS (SELECT conv_id, list_sort(list({{'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')}})) AS ts FROM conversations GROUP BY conv_id),
+g AS (SELECT ts[1].role AS r, ts[1].text AS t, min(conv_id) AS first_id, count(*) AS n FROM c GROUP BY ts[1].role, ts[1].text),
+p AS (SELECT CASE WHEN n > 1 THEN first_id ELSE c.conv_id END AS chosen_id, CASE WHEN n > 1 THEN c.conv_id END AS rejected_id, CASE WHEN n > 1 THEN f.ts ELSE c.ts END AS a, CASE WHEN n > 1 THEN c.ts END AS b
+  FROM c JOIN g ON c.ts[1].role = r AND c.ts[1].text = t JOIN c f ON f.conv_id = first_id WHERE n = 1 OR c.conv_id <> first_id),
+k AS (SELECT *, CASE WHEN b IS NULL THEN coalesce(list_max(list_filter(range(1, len(a) + 1), lambda i: a[i].role = '{LEARNED}')) - 1, len(a))
+  ELSE len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: list_transform(a[1:i], lambda x: concat(x.role, chr(10), x.text)) = list_transform(b[1:i], lambda y: concat(y.role, chr(10), y.text)))) END AS n FROM p),
+s AS (SELECT *, a[1:n] AS head, a[n + 1:] AS good, b[n + 1:] AS bad FROM k)
+SELECT chosen_id, rejected_id, CAST(n AS INTEGER) AS prefix_turns, {_shown('head')} AS prompt, {_shown('good')} AS chosen, {_masks('good')} AS chosen_mask,
+  CASE WHEN b IS NOT NULL THEN {_shown('bad')} END AS rejected, CASE WHEN b IS NOT NULL THEN {_masks('bad')} END AS rejected_mask,
+  CASE WHEN b IS NULL THEN 'single' WHEN len(good) = 0 AND len(bad) = 0 THEN 'equal' ELSE 'pair' END AS status
+FROM s
+"""

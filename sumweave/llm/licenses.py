@@ -138,3 +138,28 @@ def document_files(docs: DataFrame) -> DataFrame:
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(document_files(load(spark, sf_dir, "documents")), key="doc_id").withColumnRenamed("key", "doc_id")
+
+
+def sql(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
+    """The same for DuckDB over documents, without the pre-selection of lines; document_files gives two levels of directories."""
+    vectors, idf = template_weights(templates)
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    weights = ", ".join(f"({quote(t)}, {quote(n)}, {x!r}e0)" for n, v in vectors.items() for t, x in v.items())
+    known = ", ".join(f"({quote(t)}, {x!r}e0)" for t, x in idf.items())
+    return rf"""
+WITH f AS (SELECT doc_id, coalesce(text, '') AS t, regexp_full_match(trim(coalesce(text, ''), ' '), '(?i)[^\n]*\blicense[^\n]*') AS given,
+  concat(coalesce(source, ''), '/', coalesce(lang, '')) AS dir FROM documents),
+p AS (SELECT doc_id, t, given, dir, concat(dir, '/', CASE WHEN given THEN 'LICENSE.' ELSE '' END, doc_id, CASE WHEN given THEN '' ELSE '.txt' END) AS path FROM f),
+held AS (SELECT doc_id, path, dir, given, unnest(CASE WHEN given THEN list_append(string_split(t, chr(10)), t) ELSE string_split(t, chr(10)) END) AS unit FROM p),
+units AS (SELECT DISTINCT unit FROM held),
+tokens AS (SELECT unit, unnest(regexp_extract_all(lower(unit), '{TOKEN}')) AS token FROM units),
+weights(token, license, w) AS (VALUES {weights}),
+known(token, idf) AS (VALUES {known}),
+tf AS (SELECT unit, token, count(*) * coalesce(any_value(idf), {math.log(1 + len(vectors)) + 1!r}e0) AS x FROM tokens LEFT JOIN known USING (token) GROUP BY unit, token),
+norm AS (SELECT unit, sqrt(sum(x * x)) AS norm FROM tf GROUP BY unit),
+scored AS (SELECT unit, license, round(sum(x * w) / any_value(norm), 9) AS score FROM tf JOIN weights USING (token) JOIN norm USING (unit) GROUP BY unit, license),
+own AS (SELECT doc_id, path, dir, given, max({{'s': score, 'l': license}}) AS b FROM held JOIN scored USING (unit) WHERE score >= {threshold} GROUP BY doc_id, path, dir, given),
+dirs AS (SELECT dir, max(b).l AS inherited FROM own WHERE given GROUP BY dir)
+SELECT p.doc_id, p.path, coalesce(o.b.l, inherited) AS license, o.b.s AS score, CASE WHEN o.b IS NOT NULL THEN 'own' WHEN inherited IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin
+FROM p LEFT JOIN own o ON p.doc_id = o.doc_id AND p.path = o.path LEFT JOIN dirs ON p.dir = dirs.dir
+"""

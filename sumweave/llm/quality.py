@@ -154,4 +154,54 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(load(spark, sf_dir, "documents"))
+    return quality_rules(load(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
+
+
+def sql() -> str:
+    """The same for DuckDB, EM included: a few common table expressions for each round, over the vote patterns."""
+    kinds, code = range(len(RULES)), {1: 1, 0: 0, None: 2}
+    start = ", ".join(f"({c}, {k}, {code[v]}, {START['own' if c == k else 'other'][v]}e0)" for c in (-1, *kinds) for k in kinds for v in code)
+    first = ", ".join(f"({c}, {0.9 if c < 0 else 0.1 / len(RULES)!r}e0)" for c in (-1, *kinds))
+    bad_good = [
+        (f"n_words < {MIN_WORDS}", "n_words >= 50"),
+        ("n_symbols * 10 > n_words", "n_symbols * 50 <= n_words"),
+        ("n_dup_lines * 10 > n_lines * 3 AND n_dup_lines > 1", "n_dup_lines * 10 <= n_lines"),
+        (f"n_repeat_words * 100 > n_words * {MAX_REPEATED_PERCENT}", "n_repeat_words * 10 <= n_words"),
+        ("mean < 2 OR mean > 20", "mean >= 2.5e0 AND mean <= 12"),
+        ("capitals > 0.4e0", "capitals < 0.2e0"),
+    ]
+    rules = ", ".join(f"CASE WHEN {b} THEN 0 WHEN {g} THEN 1 ELSE 2 END AS v{k}" for k, (b, g) in enumerate(bad_good))
+    pattern = ", ".join(f"v{k}" for k in kinds)
+    votes_of = " UNION ALL ".join(f"SELECT {pattern}, n, {k} AS k, v{k} AS v FROM pat" for k in kinds)
+    rounds = []
+    for t in range(EM_ROUNDS + 1):
+        rounds.append(f"odds{t} AS MATERIALIZED (SELECT {pattern}, o.n, c, exp(any_value(s.ls) + sum(m.lr)) AS x FROM votes o JOIN model{t} m USING (k, v) JOIN share{t} s USING (c) GROUP BY {pattern}, o.n, c)")
+        rounds.append(f"post{t} AS MATERIALIZED (SELECT {pattern}, n, c, x / sum(x) OVER (PARTITION BY {pattern}) AS x FROM odds{t})")
+        if t < EM_ROUNDS:
+            rounds.append(f"mass{t} AS MATERIALIZED (SELECT c, sum(n * x) AS s FROM post{t} GROUP BY c)")
+            rounds.append(f"share{t + 1} AS MATERIALIZED (SELECT f.c, ln({BELIEF}e0 * f.p + {1 - BELIEF!r}e0 * coalesce(m.s, 0) / (SELECT greatest(sum(n), 1) FROM pat)) AS ls FROM first f LEFT JOIN mass{t} m USING (c))")
+            rounds.append(f"seen{t} AS MATERIALIZED (SELECT c, k, v, sum(o.n * x) AS s FROM post{t} JOIN votes o USING ({pattern}) GROUP BY c, k, v)")
+            rounds.append(f"model{t + 1} AS MATERIALIZED (SELECT c, k, v, ln({BELIEF}e0 * b.r + {1 - BELIEF!r}e0 * coalesce(e.s, 0) / greatest(m.s, 1e-9)) AS lr FROM start b JOIN mass{t} m USING (c) LEFT JOIN seen{t} e USING (c, k, v))")
+    last = f"post{EM_ROUNDS}"
+    return rf"""
+WITH texts AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT id, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts),
+grams AS (SELECT id, i, list_slice(w, i, i + {WINDOW - 1}) AS g FROM w, LATERAL (SELECT unnest(range(1, len(w) - {WINDOW - 2})) AS i) WHERE len(w) >= {WINDOW}),
+twice AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, g) AS n FROM grams) q WHERE n > 1),
+covered AS (SELECT id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, {WINDOW})) AS k) GROUP BY id),
+lines AS (SELECT id, count(*) AS n, count(*) - count(DISTINCT l) AS dup FROM (SELECT id, unnest(string_split(t, chr(10))) AS l FROM texts) q WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY id),
+q AS (SELECT w.id, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(lines.dup, 0) AS BIGINT) AS n_dup_lines, coalesce(lines.n, 0) AS n_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, len(regexp_extract_all(t, '\p{{Lu}}')) AS n_capitals
+  FROM w LEFT JOIN lines USING (id) LEFT JOIN covered USING (id)),
+m AS (SELECT *, word_chars / greatest(n_words, 1)::DOUBLE AS mean, n_capitals / greatest(word_chars, 1)::DOUBLE AS capitals FROM q),
+voted AS MATERIALIZED (SELECT *, {rules} FROM m),
+pat AS MATERIALIZED (SELECT {pattern}, count(*) AS n FROM voted GROUP BY {pattern}),
+votes AS MATERIALIZED ({votes_of}),
+start AS MATERIALIZED (SELECT * FROM (VALUES {start}) AS x(c, k, v, r)),
+first AS MATERIALIZED (SELECT * FROM (VALUES {first}) AS x(c, p)),
+model0 AS MATERIALIZED (SELECT c, k, v, ln(r) AS lr FROM start),
+share0 AS MATERIALIZED (SELECT c, ln(p) AS ls FROM first),
+{", ".join(rounds)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND x >= 0.5 AS kept, round(x, 6) AS probability
+FROM (SELECT *, n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEATED_PERCENT} AS base_failed FROM voted) d JOIN (SELECT * FROM {last} WHERE c = -1) p USING ({pattern})
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_chat": chat.op10_chat,
 }
-ORACLES = {"op6_decontaminate": decontaminate.SQL}
+ORACLES = {"op6_decontaminate": decontaminate.SQL, "op7_quality_rules": quality.sql(), "op8_licenses": licenses.sql(), "op10_chat": chat.SQL}
