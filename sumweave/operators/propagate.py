@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from sumweave.functions import algebra as A
 from sumweave.plans.ir import Aggregate, AggOverJoin, Bail
-from sumweave.plans.joingraph import Node, tree
+from sumweave.plans.joingraph import Node, kept_columns, tree
 
 
 class _Summary:
     """A relation with its children's messages: columns that are kept, multiplicities, and parts of aggregates by owner."""
 
-    def __init__(self, q: AggOverJoin):
+    def __init__(self, q: AggOverJoin, loose: frozenset[str] = frozenset()):
         self.q = q
+        self.loose = loose
         self.kinds = {}
         for a in q.aggregates:
             if a.relation is not None:
@@ -57,9 +58,9 @@ class _Summary:
     def condensed(self, node: Node) -> tuple[DataFrame, Column | None]:
         """The relation, one row for each combination of its join keys and groups; its own multiplicity (None: 1)."""
         rows = self.rows(node)
-        by = list(dict.fromkeys([*(self.column(node.name, c) for e in [*(c.up for c in node.children), *([node.up] if node.up else [])] for c in e.end(node.name)), *self.own_groups(node)]))
+        by = [self.column(node.name, c) for c in kept_columns(self.q, node)]
         own = [a for a in self.q.aggregates if a.relation == node.name]
-        if self.is_unique(node, by):
+        if self.is_unique(node, by) or node.children and node.name in self.loose:
             return rows, None
         parts = {self.part(a, p): x for a in own for p, x in A.own_parts(a.fn, F.col(self.column(node.name, a.column)), self.kinds[a], None).items()}
         n = f"_n_{node.name}"
@@ -111,15 +112,16 @@ class _Summary:
         return {p: x.isNotNull().cast("bigint") if p == "c" else x.cast(A.sum_type(self.kinds[a])) if p == "s" else x for p in A.PARTS[a.fn]}
 
 
-def aggregate_over_join(q: AggOverJoin, root: str | None = None) -> DataFrame:
+def aggregate_over_join(q: AggOverJoin, root: str | None = None, loose: frozenset[str] = frozenset()) -> DataFrame:
     """The groups and aggregates of q, grouped by nothing: one row.
 
     Each relation is condensed to one row for each combination of join keys and groups before it meets another, so a join never makes more rows
     than its sides have distinct keys, and Spark combines before every shuffle. Where a relation is condensed by its only
-    join key and that is the group, the exchange serves the condensing, the join and the result.
+    join key and that is the group, the exchange serves the condensing, the join and the result. loose: relations whose rows hardly
+    repeat; unless they are leaves they go into the join as they are.
     """
     top = tree(q, root)
-    s = _Summary(q)
+    s = _Summary(q, loose)
     df, weights, condensed = s.joined(top)
     totals = s.totals(top, weights, condensed)
     groups = list(dict.fromkeys(s.column(g[0], g[1]) for g in q.groups))

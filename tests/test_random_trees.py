@@ -9,7 +9,7 @@ from sumweave.plans.ir import Bail
 
 
 @pytest.mark.parametrize("seed", range(12))
-def test_same_as_direct(spark, seed):
+def test_same_as_direct(spark, seed, monkeypatch):
     r = random.Random(seed)
     n = r.randint(2, 5)
     up = {k: r.randrange(k) for k in range(1, n)}
@@ -29,6 +29,11 @@ def test_same_as_direct(spark, seed):
     direct = spark.sql(text + (f" group by {', '.join(groups.values())}" if groups else ""))
     show = lambda df: sorted(str(tuple(round(x, 6) if isinstance(x, float) else x for x in row)) for row in df.collect())
     assert show(ours) == show(direct)
+    from sumweave.operators import propagate
+
+    whole = propagate.aggregate_over_join
+    monkeypatch.setattr("sumweave.operators.explicit.aggregate_over_join", lambda q, root=None: whole(q, root, frozenset(r.choice([names, names[:1], names[1:]]))))
+    assert show(agg_over_join({x: spark.table(f"tree_{x}") for x in names}, on, groups, aggregates)) == show(direct)
 
 
 def test_shapes_that_bail(spark):
