@@ -67,13 +67,16 @@ def anchors(vectors: dict[str, dict[str, float]], threshold: float) -> list[str]
         rest = {n: {t: x for t, x in v.items() if not t.startswith(best)} for n, v in rest.items()}
 
 
+def _constants(like: DataFrame, rows: list[dict]) -> DataFrame:
+    return like.sparkSession.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(x).alias(k) for k, x in r.items())) for r in rows))))
+
+
 def _unit_scores(units: DataFrame, templates, threshold: float) -> DataFrame:
     """units (key, unit) with unit a string: (key, license, score) of the best template at or above the threshold."""
     vectors, idf = template_weights(templates)
     top = math.log(1 + len(vectors)) + 1
-    spark = units.sparkSession
-    weights = spark.createDataFrame([(t, n, x) for n, v in vectors.items() for t, x in v.items()], "token string, license string, w double")
-    known = spark.createDataFrame(list(idf.items()), "token string, idf double")
+    weights = _constants(units, [{"token": t, "license": n, "w": x} for n, v in vectors.items() for t, x in v.items()])
+    known = _constants(units, [{"token": t, "idf": x} for t, x in idf.items()])
     tokens = units.select("key", F.explode(F.regexp_extract_all(F.lower("unit"), F.lit(f"({TOKEN})"), F.lit(1))).alias("token"))
     tf = tokens.groupBy("key", "token").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(known), "token", "left")  # as many rows as the templates have tokens
     tf = tf.select("key", "token", (F.col("n") * F.coalesce("idf", F.lit(top))).alias("x"))
