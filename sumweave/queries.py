@@ -5,6 +5,7 @@ A text in SQL runs through the engine here and as it stands elsewhere. Sums of d
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -107,7 +108,7 @@ SQL: dict[str, str] = {
 
 def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir, TABLES)
+        register(spark, sf_dir, [t for t in TABLES if re.search(rf"\b{t}\b", text)])
         return Engine(spark, "always").sql(text)
 
     return run
