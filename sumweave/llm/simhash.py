@@ -18,6 +18,8 @@ SEED = 42
 BUDGET = 3
 #: A bucket of more fingerprints than this is split by further bits.
 BUCKET = 4096
+#: Fingerprints in the buckets that a worker joins together.
+VALUES = 200_000
 #: Rows for which bits are counted at once, and node pairs that a traversal holds at once.
 CHUNK, FRONTIER = 1 << 15, 1 << 18
 
@@ -108,16 +110,25 @@ def _forest(i: np.ndarray, j: np.ndarray, parent: dict[int, int]) -> list[tuple[
 
 def _linked(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        lists = b.column(0)
-        flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-        group = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-        values = flat[np.lexsort((flat, group))]
-        parent: dict[int, int] = {}
-        found = [x for i, j in trie_pairs(values, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends, budget) for x in _forest(i, j, parent)]
-        signed = values.view(np.int64)
-        i, j = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(signed[i], pa.int64()), pa.array(signed[j], pa.int64())], ["a", "b"])
+        sizes = b.column(0).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(sizes) - sizes) // VALUES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if y > x:
+                yield _links_of(b.column(0).slice(x, y - x), sizes[x:y], budget)
+
+
+def _links_of(lists: pa.ListArray, sizes: np.ndarray, budget: int) -> pa.RecordBatch:
+    """Links within each of some lists of fingerprints."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    ends = np.cumsum(sizes)
+    group = np.repeat(np.arange(len(ends)), sizes)
+    values = flat[np.lexsort((flat, group))]
+    parent: dict[int, int] = {}
+    found = [x for i, j in trie_pairs(values, ends - sizes, ends, budget) for x in _forest(i, j, parent)]
+    signed = values.view(np.int64)
+    i, j = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(signed[i], pa.int64()), pa.array(signed[j], pa.int64())], ["a", "b"])
 
 
 def _blocks(bits: list[int], parts: int) -> list[list[int]]:
