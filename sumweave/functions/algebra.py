@@ -89,6 +89,20 @@ def inherited_parts(fn: str, parts: dict[str, Column], kind: T.DataType | None,
     return out
 
 
+def single_parts(fn: str, parts: dict[str, Column], kind: T.DataType | None, weight: Column | None) -> dict[str, Column]:
+    """The same as inherited_parts where every group is one row: weights are applied, nothing is added up."""
+    out: dict[str, Column] = {}
+    for part, x in parts.items():
+        if part == "c":
+            out[part] = x if weight is None else x * weight
+        elif part == "s":
+            total = T.LongType() if isinstance(kind, _INTEGRAL) else kind
+            out[part] = weighted(x, total, weight).cast(sum_type(kind))
+        else:
+            out[part] = x
+    return out
+
+
 def finish(fn: str, parts: dict[str, Column], n: Column, grouped: bool) -> Column:
     """The result of a function from its summed parts; counts of no rows are 0, all else of no rows is null."""
     if fn == "count_star":

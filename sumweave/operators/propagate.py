@@ -95,6 +95,16 @@ class _Summary:
             out |= {self.part(a, p): x for p, x in made.items()}
         return out
 
+    def products(self, node: Node, weights: dict[str, Column]) -> dict[str, Column]:
+        """What totals would give where every group is one row of condensed relations."""
+        everything = A.product(list(weights.values()))
+        out = {f"_n_{node.name}": F.lit(1).cast("bigint") if everything is None else everything}
+        for a in self.aggregates_below(node):
+            sender = node.name if a.relation == node.name else next(c.name for c in node.children if a.relation in c.below())
+            others = A.product([w for s, w in weights.items() if s != sender])
+            out |= {self.part(a, p): x for p, x in A.single_parts(a.fn, {p: F.col(self.part(a, p)) for p in A.PARTS[a.fn]}, self.kinds[a], others).items()}
+        return out
+
     def message(self, node: Node) -> DataFrame:
         """One row for each key to the parent and each combination of group columns from below."""
         by = list(dict.fromkeys([*self.keys(node), *self.groups_below(node)]))
@@ -123,10 +133,13 @@ def aggregate_over_join(q: AggOverJoin, root: str | None = None, loose: frozense
     top = tree(q, root)
     s = _Summary(q, loose)
     df, weights, condensed = s.joined(top)
-    totals = s.totals(top, weights, condensed)
     groups = list(dict.fromkeys(s.column(g[0], g[1]) for g in q.groups))
-    out = df.groupBy(*groups).agg(*(x.alias(p) for p, x in totals.items())) if groups else df.agg(*(x.alias(p) for p, x in totals.items()))
-    n = F.col(f"_n_{top.name}")
+    n, own = F.col(f"_n_{top.name}"), {s.column(top.name, c) for c in kept_columns(q, top)}
     results = [F.col(s.column(g[0], g[1])).alias(g[2]) for g in q.groups]
+    if groups and condensed and own <= set(groups):  # one row for each group already
+        made = s.products(top, weights)
+        return df.select(*results, *(A.finish(a.fn, {p: made[s.part(a, p)] for p in A.PARTS[a.fn]}, made[f"_n_{top.name}"], True).alias(a.alias) for a in q.aggregates))
+    totals = s.totals(top, weights, condensed)
+    out = df.groupBy(*groups).agg(*(x.alias(p) for p, x in totals.items())) if groups else df.agg(*(x.alias(p) for p, x in totals.items()))
     results += [A.finish(a.fn, {p: F.col(s.part(a, p)) for p in A.PARTS[a.fn]}, n, bool(groups)).alias(a.alias) for a in q.aggregates]
     return out.select(*results)
