@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import load, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -319,7 +319,7 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", table:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = find_spans([t or "" for t in b.column(1).to_pylist()], field)
+            found = [x for part in slices(b.column(1)) for x in find_spans([t or "" for t in part], field)]
             counts = [[sum(k == kind for _, k, _ in base) for base, _ in found] for kind in range(len(KINDS))]
             digest = [hashlib.sha256(_written(base).encode()).hexdigest() for base, _ in found]
             columns = [b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array([_written(x) for _, x in found], pa.string())]
