@@ -53,6 +53,11 @@ def slices(column, rows: int = 500):
         yield column.slice(k, rows).to_pylist()
 
 
+def text_key(text: str) -> list[Column]:
+    """128 bits x, y that stand for a text, null ones too, where rows cannot be told apart by their ids."""
+    return [F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), text).alias("y")]
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once for each row however often body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, let, load, lower_ascii, save, window_hashes, windows, words_of
+from .common import broadcast_if_small, let, load, lower_ascii, save, text_key, window_hashes, windows, words_of
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -73,10 +73,11 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = CONTAI
     return pairs.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.n_item", "b.n_shared", "b.containment")
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
-    """The rows of docs whose id has no item inside."""
-    leaks = save(contained_items(docs, items, threshold).select(F.col("doc_id").alias("leak")).distinct())
-    rows = docs.select(F.col("doc_id").alias("id"), F.struct("*").alias("row"))  # the row's own names can't clash with others
+def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT, each_row: bool = False) -> DataFrame:
+    """The rows of docs whose id has no item inside; with each_row, whose own text has none, whatever other rows with the id hold."""
+    key = F.struct(*text_key("text")) if each_row else F.col("doc_id")
+    rows = docs.select(key.alias("id"), F.struct("*").alias("row"))  # the row's own names can't clash with others
+    leaks = save(contained_items(rows.select("id", F.col("row.text").alias("text")), items, threshold, doc_id="id").select(F.col("doc_id").alias("leak")).distinct())
     return rows.join(broadcast_if_small(leaks), F.expr("id <=> leak"), "left_anti").select("row.*")
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, load, save, slices
+from .common import components, load, save, slices, text_key
 
 SHINGLE = 3
 SEED = 42
@@ -168,6 +168,13 @@ def trie_links(fps: DataFrame, budget: int = BUDGET, bucket: int = BUCKET) -> Da
         rows = save(keyed.join(big, ["path", "value"], "left_semi").select("fp", "path"))
 
 
+def _groups(fp: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
+    """From the saved fingerprints of rows (doc_id, fp, ...): nodes (fp, least, n), and (fp, root, least) of those that are linked to others."""
+    nodes = save(fp.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    roots = components(trie_links(nodes.select("fp"), budget))
+    return nodes, save(nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp").select("fp", "root", "least"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET) -> DataFrame:
     """(doc_id, fp, component_id) for each row: documents whose SimHash fingerprints differ in at most `budget` bits are linked.
 
@@ -177,9 +184,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     table gives an empty result; further columns are ignored, whatever their names.
     """
     fp = save(fingerprints(docs, doc_id, text))
-    nodes = save(fp.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    roots = components(trie_links(nodes.select("fp"), budget))
-    member = save(nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp").select("fp", "root", "least"))
+    nodes, member = _groups(fp, budget)
     least = member.groupBy("root").agg(F.min("least").alias("component"))
     linked = member.join(least, "root").select("fp", "component")
     alone = nodes.where("n > 1").join(member.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component"))
@@ -187,10 +192,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their component: the one with the smallest id; of rows repeating that id one."""
-    found = save(near_duplicates(docs))
-    first = save(found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("first")).agg(F.count(F.lit(1)).alias("times")))
-    rows = docs.select(F.col("doc_id").alias("id"), F.struct("*").alias("row"))  # the row's own names can't clash with others
+    """One row of docs for each component: of those with the smallest id, null ids after all others, one.
+
+    Ids may repeat or be null: a row is known by its id and 128 bits of its text, and rows are in one group only if their fingerprints are.
+    """
+    rows = docs.select(F.struct("doc_id", *text_key("text")).alias("id"), F.struct("*").alias("row"))  # the row's own names can't clash with others
+    fp = save(fingerprints(rows.select("id", F.col("row.text").alias("text")), "id"))
+    _, member = _groups(fp, BUDGET)
+    same = fp.groupBy("fp", "doc_id").agg(F.count(F.lit(1)).alias("times")).join(member.select("fp", "root"), "fp", "left")
+    order = F.struct(F.col("doc_id.doc_id").isNull().alias("no_id"), "doc_id", "times")
+    first = save(same.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(order).alias("f")).select(F.col("f.doc_id").alias("first"), "f.times"))
     kept = rows.join(first, F.expr("id <=> first"))
     if not first.where("times > 1").limit(1).count():
         return kept.select("row.*")
