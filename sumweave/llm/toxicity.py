@@ -22,6 +22,8 @@ VOCABULARY, NGRAMS = 20_000, 1 << 15
 SAMPLE = 4000
 #: Windows that go through the network together, and words whose projections a worker keeps.
 BATCH, CACHE = 2048, 250_000
+#: Characters of an input; a longer word becomes several, which overlap so that every sequence of six characters is in one.
+LONG, OVERLAP = 40, 5
 _EDGES = ".,;:!?\"'()[]{}<>#*$%&|-_…«»“”„"
 
 
@@ -30,12 +32,25 @@ def core(word: str) -> str:
     return word.lower().strip(_EDGES)
 
 
+def inputs_of(text: str) -> list[str | tuple[str]]:
+    """What the windows run over: the words of a text, and for a word of more than LONG characters its core in pieces, each as a tuple."""
+    words = text.split()
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    cut = lambda c: [(c[k : k + LONG],) for k in range(0, max(1, len(c) - OVERLAP), LONG - OVERLAP)]
+    return [x for w in words for x in ([w] if len(w) <= LONG else cut(core(w)))]
+
+
+def core_of(x: str | tuple[str]) -> str:
+    return core(x) if isinstance(x, str) else x[0]
+
+
 def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The characters that the network reads: hashed sequences of 3, 4 and 6 characters of each word with marked ends.
 
     Returns the hashes of all words in a row, and how many each word has; all words are hashed together, as one array of code points.
     """
-    marked = [f"^{w[:40]}$" if w else "^$$" for w in words]
+    marked = [f"^{w}$" if w else "^$$" for w in words]
     points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     size = np.fromiter(map(len, marked), np.int64, len(marked))
     word = np.repeat(np.arange(len(words)), size)
@@ -197,9 +212,9 @@ class Scorer:
     def _rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > CACHE or len(self.seen) > 2 * CACHE:
             self.index, self.seen, self.table = {}, {}, self.table[:0]
-        split = [t.split() for t in texts]
+        split = [inputs_of(t) for t in texts]
         unknown = set().union(*split) - self.seen.keys()
-        cores = {w: core(w) for w in unknown}
+        cores = {w: core_of(w) for w in unknown}
         new = list(set(cores.values()) - self.index.keys())
         if new:
             self.table = np.concatenate([self.table, self.net.project(self.net.inputs(new)[3])])
@@ -238,11 +253,11 @@ def train(texts: list[str], labels: list[int], odds: float | None = None, epochs
     r = np.random.default_rng(seed)
     cores: dict[str, str] = {}  # one object for each word
 
-    def core_of(w: str) -> str:
-        c = core(w)
+    def shared(w: str | tuple[str]) -> str:
+        c = core_of(w)
         return cores.setdefault(c, c)
 
-    split = [[core_of(w) for w in t.split()] for t in texts]
+    split = [[shared(w) for w in inputs_of(t)] for t in texts]
     seen = Counter(w for s in split for w in set(s))
     vocabulary = [w for w, n in sorted(seen.items(), key=lambda e: (-e[1], e[0]))[:VOCABULARY] if n > 1]
     net = Network.new({w: k + 1 for k, w in enumerate(vocabulary)}, seed)
@@ -333,7 +348,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Toxicity of every document: doc_id, held_out, score, predicted, n_windows.
 
-    Every text is read whole, in overlapping windows; the network sees the words and their characters, nothing else. The score is the
+    Every text is read whole, in overlapping windows, long words in overlapping pieces; the network sees the words and their characters, nothing else. The score is the
     calibrated logit of the highest window. held_out: crc32 of the id as text modulo 5 is 0; only other rows' labels are learnt, from
     a bounded sample (`learn`). Null texts count as empty, and empty texts get the score of an empty window; repeated rows stay; a
     null id counts as the empty text in crc32; without usable labels all scores are near 0; an empty table gives an empty

@@ -1,7 +1,7 @@
 """What a review of round 1 found missing."""
 
 import corpus_pipeline
-from sumweave.llm import simhash
+from sumweave.llm import simhash, toxicity
 
 PROSE = "The quick brown fox jumps over the lazy dog while seven grey geese cross the cold river near our old mill and nobody minds them at all today."
 OTHER = "Bakers in the northern valley weigh their flour twice before dawn, since damp sacks from the barge have often cheated them of a loaf."
@@ -16,3 +16,15 @@ def test_rows_with_null_or_repeated_ids_stay_apart(spark, tmp_path):
     more = docs.union(spark.createDataFrame([(5, OTHER)], docs.schema))
     clean = [tuple(r) for r in corpus_pipeline.decontamination(spark, more, str(tmp_path)).collect()]
     assert sorted(clean, key=str) == sorted([(None, PROSE), (5, THIRD), (5, "one two three four"), (7, THIRD)], key=str)
+
+
+def test_toxicity_reads_long_words_to_their_end():
+    scorer = toxicity.Scorer(toxicity.Network.new({}))
+    a, b = scorer.raw(["_".join(["abcde"] * 40) + x for x in ("_kindly_put", "_wretched!")])
+    assert abs(a - b) > 1e-4
+    word = "".join(chr(0x4E00 + k) for k in range(1000))
+    for n in (41, 75, 76, 110, 111, 1000):
+        pieces = [toxicity.core_of(x) for x in toxicity.inputs_of(word[:n])]
+        assert all(len(p) <= toxicity.LONG for p in pieces)
+        assert all(any(word[k : k + 6] in p for p in pieces) for k in range(n - 5))
+    assert toxicity.inputs_of(f"one {'.' * 60} two") == ["one", ("",), "two"]
