@@ -1,7 +1,10 @@
 """What a review of round 1 found missing."""
 
+import math
+from collections import Counter
+
 import corpus_pipeline
-from sumweave.llm import simhash, toxicity
+from sumweave.llm import lm, simhash, toxicity
 
 PROSE = "The quick brown fox jumps over the lazy dog while seven grey geese cross the cold river near our old mill and nobody minds them at all today."
 OTHER = "Bakers in the northern valley weigh their flour twice before dawn, since damp sacks from the barge have often cheated them of a loaf."
@@ -28,3 +31,15 @@ def test_toxicity_reads_long_words_to_their_end():
         assert all(len(p) <= toxicity.LONG for p in pieces)
         assert all(any(word[k : k + 6] in p for p in pieces) for k in range(n - 5))
     assert toxicity.inputs_of(f"one {'.' * 60} two") == ["one", ("",), "two"]
+
+
+def test_end_is_known_below_the_frequent_words(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FREQUENT", 2)
+    monkeypatch.setattr(lm, "STEPS", 20)
+    texts = {0: "a b c d " * 50, 2: "a b c e " * 50}  # neither is held out
+    c = Counter(w for t in texts.values() for w in [*t.split(), ""])
+    n, v = sum(c.values()), len(c)
+    for r in lm.lm_scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        words = [*texts[r["doc_id"]].split(), ""]
+        assert r["n_known"] == len(words)
+        assert abs(r["base_score"] - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words)) < 1e-6
