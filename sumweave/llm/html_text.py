@@ -23,12 +23,16 @@ BLOCK = frozenset(
 #: Elements whose start ends an open element of the given names, up to a container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 HOLDERS = frozenset("ul ol menu dl table tbody thead tfoot select article section div main body".split())
-#: Elements that are never main text, and words in class, id or role that say so.
+#: Elements that are never main text, and whole names in class, id or role that say so; compound names (no-sidebar, related-work) say nothing.
 DROPPED = frozenset("script style noscript template head title nav footer aside form button select option textarea iframe object svg canvas math dialog menu datalist audio video noembed noframes xmp".split())
 _NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumbs?|comments?|cookies?|disqus|footer|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|pagination|popup|promo|related|reply|replies|respond|responses|share|sharing|sidebar|social|sponsor|sponsored|subscribe|tags|toolbar|widget|complementary|contentinfo|search|alert)(?:$|[\s_-])",
+    r"(?:^|\s)(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumbs?|comments?|cookies?|disqus|footer|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|pagination|popup|promo|related|reply|replies|respond|responses|share|sharing|sidebar|social|sponsor|sponsored|subscribe|tags|toolbar|widget|complementary|contentinfo|search|alert)(?:$|\s)",
     re.I,
 )
+#: Elements that hold the page or name its parts: their class, id and role never make them noise.
+HELD = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
+#: What holds this share of the page's text at least is judged by density, whatever it calls itself.
+MOST = 0.5
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
 
@@ -37,7 +41,7 @@ class Tree:
     """Elements of a page in document order; text belongs to the element that holds it."""
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.noise = ["#root"], [-1], [False]
+        self.tag, self.parent, self.noise, self.named = ["#root"], [-1], [False], [False]
         self.open = Counter()  # elements on the stack, by name
         self.events: list[tuple[int, str | None]] = []  # (element, text); a block's start and end are entries with None
         stack, at, n = [0], 0, len(page)
@@ -71,19 +75,20 @@ class Tree:
         node = len(self.tag)
         self.tag.append(name)
         self.parent.append(stack[-1])
-        noisy = name in DROPPED
+        noisy, named = name in DROPPED, False
         if not noisy and attributes and name not in ("html", "body"):
             for a in _ATTRIBUTE.finditer(attributes):
                 key = a[1].lower()
                 value = a[2] or a[3] or a[4] or ""
                 if key in ("class", "id", "role") and _NOISE.search(value):
-                    noisy = True
+                    named = name not in HELD
                 elif key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
                     noisy = True
             noisy = noisy or bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", _ATTRIBUTE.sub(" ", attributes)))
         if name == "header" and not (self.open["article"] or self.open["main"]):
             noisy = True
         self.noise.append(noisy or self.noise[stack[-1]])
+        self.named.append(named)
         if name in BLOCK:
             self.events.append((node, None))
         elif name == "br":
@@ -115,6 +120,22 @@ class Tree:
             if tag in limit:
                 return
 
+    def drop_named(self) -> None:
+        """What calls itself noise is noise with all below it, unless it holds most of the page's text and no article or main is outside it."""
+        if not any(self.named):
+            return
+        chars, parts = [0] * len(self.tag), [x in ("article", "main") for x in self.tag]
+        every = sum(parts)
+        for node, text in self.events:
+            if text is not None and not self.noise[node]:
+                chars[node] += sum(map(len, text.split()))
+        for k in range(len(chars) - 1, 0, -1):
+            chars[self.parent[k]] += chars[k]
+            parts[self.parent[k]] += parts[k]
+        for k in range(1, len(chars)):
+            most = chars[k] >= MOST * chars[0] and parts[k] == every
+            self.noise[k] = self.noise[k] or self.noise[self.parent[k]] or self.named[k] and not most
+
 
 def main_text(page: str | None) -> str:
     """The text of the main part of a page, one line for each block; empty if there is none.
@@ -125,6 +146,7 @@ def main_text(page: str | None) -> str:
     links belong to the text as well. Scripts, forms, menus and what calls itself an advert, comment or notice have no density.
     """
     t = Tree(page or "")
+    t.drop_named()
     n = len(t.tag)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     in_link = [False] * n

@@ -3,8 +3,10 @@
 import math
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
-from sumweave.llm import lm, simhash, toxicity
+from sumweave.llm import html_text, lm, simhash, toxicity
 
 PROSE = "The quick brown fox jumps over the lazy dog while seven grey geese cross the cold river near our old mill and nobody minds them at all today."
 OTHER = "Bakers in the northern valley weigh their flour twice before dawn, since damp sacks from the barge have often cheated them of a loaf."
@@ -43,3 +45,20 @@ def test_end_is_known_below_the_frequent_words(spark, monkeypatch):
         words = [*texts[r["doc_id"]].split(), ""]
         assert r["n_known"] == len(words)
         assert abs(r["base_score"] - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words)) < 1e-6
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><div class='content has-sidebar'><p>{0}</p></div></body>",
+        "<body><main class='no-sidebar'><p>{0}</p></main></body>",
+        "<body><article class='post comments-open social'><p>{0}</p></article></body>",
+        "<body><article><section id='search-index'><p>{0}</p></section></article></body>",
+        "<body><div class='widget'><p>{0}</p></div><div class='ad'>buy</div></body>",
+        "<body><div class='sidebar'><article><p>{0}</p></article></div></body>",
+        "<body><article><p>{0}</p></article><div class='comments'><p>{0} said one</p><p>{0} said two</p></div></body>",
+    ],
+)
+def test_names_of_wrappers_lose_no_article(page):
+    assert html_text.main_text(page.format(PROSE)) == PROSE
+    assert html_text.main_text(f"<article><h2 id='related'>Head</h2><p>{PROSE}</p></article>") == f"Head\n{PROSE}"
