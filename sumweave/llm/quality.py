@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,13 +15,16 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
 EM_ROUNDS = 25
-#: Rule votes: 1 for good, 0 for bad, null for no opinion.
-RULES = ("length", "symbols", "duplicate_lines", "repetition", "word_length", "capitals")
+#: The rules, and the kind of junk that each looks for. They vote 1 for good, 0 for bad, null for no opinion.
+RULES = {
+    "length": "form", "word_length": "form", "capitals": "form", "line_ends": "form", "short_lines": "form",
+    "symbols": "symbols", "symbol_words": "symbols",
+    "duplicate_lines": "repetition", "repetition": "repetition", "echoes": "repetition", "variety": "repetition",
+}
+KINDS = ("form", "symbols", "repetition")
 VOTES = [f"_vote_{x}" for x in RULES]
-#: Share of each EM estimate that comes from what is believed beforehand: rates of votes (1 good, 0 bad) in a class of junk
-#: by the rule for that kind, and by the others as by every rule for good documents.
-BELIEF = 0.3
-START = {"own": {1: 0.02, 0: 0.96, None: 0.02}, "other": {1: 0.9, 0: 0.002, None: 0.098}}
+#: Where EM starts: share of good documents, how often a rule votes bad in its own kind of junk, and elsewhere. PSEUDO documents vote so beforehand.
+GOOD, HIT, ERROR, PSEUDO = 0.85, 0.6, 0.05, 2.0
 
 
 def _repeated_words(words: Column) -> Column:
@@ -41,88 +46,115 @@ def _repeated_words(words: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with one struct column `_q`: the base measures and two more that only rules use. A null text has no words."""
+    """docs with one struct column `_q`: the base measures and those that only rules use. A null text has no words."""
     t = F.coalesce(F.col(text), F.lit(""))
 
     def of(words: Column) -> Column:
         lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-        n_lines = let(lines, lambda x: F.struct(F.size(x).alias("all"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
+        of_lines = lambda x: F.struct(
+            F.size(x).alias("all"),
+            (F.size(x) - F.size(F.array_distinct(x))).alias("dup"),
+            F.size(F.filter(x, lambda y: ~y.rlike(rf"[^\x20\x09-\x0D](?:{BLANK_CLASS}+[^\x20\x09-\x0D]+){{3}}"))).alias("short"),
+            F.size(F.filter(x, lambda y: y.rlike(rf"[.!?][\"')\]]*{BLANK_CLASS}*\z"))).alias("ended"),
+        )
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
             (F.length(t) - F.regexp_count(t, F.lit(BLANK_CLASS))).cast("long").alias("word_chars"),
             F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-            n_lines.alias("lines"),
+            let(lines, of_lines).alias("lines"),
             _repeated_words(words).alias("n_repeat_words"),
             F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
+            F.regexp_count(t, F.lit(rf"[#*$%&|<>](?={BLANK_CLASS}|\z)")).cast("long").alias("n_symbol_words"),
+            F.size(F.filter(words, lambda w, i: (i > 0) & (F.get(words, i - 1) == w))).cast("long").alias("n_echoes"),
+            F.size(F.array_distinct(words)).cast("long").alias("n_distinct"),
         )
 
     return docs.withColumn("_q", let(words_of(t), of))
 
 
-def votes() -> list[Column]:
-    """One column for each of RULES over the measures."""
-    n = F.col("n_words")
-
-    def vote(bad: Column, good: Column) -> Column:
-        return F.when(bad, 0).when(good, 1).cast("int")
-
-    mean = F.col("word_chars") / F.greatest(n, F.lit(1))
-    capitals = F.col("n_capitals") / F.greatest(F.col("word_chars"), F.lit(1))
-    return [
-        vote(n < MIN_WORDS, n >= 50),
-        vote(F.col("n_symbols") * 10 > n, F.col("n_symbols") * 50 <= n),
-        vote((F.col("n_dup_lines") * 10 > F.col("n_lines") * 3) & (F.col("n_dup_lines") > 1), F.col("n_dup_lines") * 10 <= F.col("n_lines")),
-        vote(F.col("n_repeat_words") * 100 > n * MAX_REPEATED_PERCENT, F.col("n_repeat_words") * 10 <= n),
-        vote((mean < 2) | (mean > 20), (mean >= 2.5) & (mean <= 12)),
-        vote(capitals > 0.4, capitals < 0.2),
-    ]
-
-
-def estimate(patterns: dict[tuple, int], rounds: int = EM_ROUNDS) -> list[tuple[float, list[dict]]]:
-    """EM for a latent class model whose rules vote independently, given the class.
-
-    Kinds of junk exclude each other, so there is one class for good documents and one for each rule's kind of junk; two
-    classes would follow the commonest kind alone. patterns counts documents by their votes: at most 3 ** len(RULES)
-    entries, whatever the size of the corpus. BELIEF of every rate comes from START. Returns for each class, the good one
-    first, the log of its share and for each rule the log rates of its votes.
+def conditions() -> dict[str, tuple[str, str]]:
+    """For each rule the condition of a bad vote, and otherwise that of a good one, in SQL over the measures; with neither it abstains."""
+    return {
+        "length": (f"n_words < {MIN_WORDS}", "n_words >= 50"),
+        "word_length": ("word_chars < 2 * n_words OR word_chars > 20 * n_words", "2 * word_chars >= 5 * n_words AND word_chars <= 12 * n_words AND n_words > 0"),
+        "capitals": ("10 * n_capitals > 4 * word_chars", "10 * n_capitals < 2 * word_chars"),
+        "line_ends": ("2 * n_ended < n_lines", "10 * n_ended >= 9 * n_lines"),
+        "short_lines": ("5 * n_short > n_lines", "10 * n_short <= n_lines"),
+        "symbols": ("10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
+        "symbol_words": ("10 * n_symbol_words > n_words", "50 * n_symbol_words <= n_words"),
+        "duplicate_lines": ("10 * n_dup_lines > 3 * n_lines AND n_dup_lines > 1", "10 * n_dup_lines <= n_lines"),
+        "repetition": (f"100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words", "10 * n_repeat_words <= n_words"),
+        "echoes": ("10 * n_echoes > n_words", "50 * n_echoes <= n_words"),
+        "variety": (f"2 * n_distinct < n_words AND n_words >= {MIN_WORDS}", f"10 * n_distinct >= 6 * n_words OR n_words < {MIN_WORDS}"),
+    }
+
+
+@dataclass
+class Model:
+    """What EM has found: shares of good documents and of each kind of junk; for each rule how often it votes bad in its kind, and elsewhere."""
+
+    shares: np.ndarray
+    hits: np.ndarray
+    errors: np.ndarray
+
+    def rates(self, c: int) -> np.ndarray:
+        """Bad votes of each rule in a class: 0 is good, then KINDS."""
+        own = np.array([c > 0 and k == KINDS[c - 1] for k in RULES.values()])
+        return np.where(own, self.hits, self.errors)
+
+
+def estimate(patterns: dict[tuple, int], rounds: int = EM_ROUNDS) -> Model:
+    """EM for the accuracies of rules that vote independently, given the class of a document: good, or one kind of junk.
+
+    Kinds of junk exclude each other, so two classes would follow the commonest kind alone. A rule votes bad at one rate in its own kind and
+    at another, its error rate, in good documents and all other kinds alike; whether it abstains says nothing. Rules are told apart
+    by their agreement: a rule whose bad votes no other rule of its kind shares gets an error rate as high as they are frequent, and
+    a lone bad vote of it is overruled. No rule is taken to do worse than chance: its hit rate is at least its error rate.
+    PSEUDO documents are all that is believed beforehand. patterns counts documents by their votes, at most
+    3 ** len(RULES) entries, whatever the size of the corpus; of the same counts in another order come the same rates.
     """
-    total = sum(patterns.values()) or 1
-    kinds = range(len(RULES))
-    classes = [None, *kinds]
-    start = {c: [START["own" if c == k else "other"] for k in kinds] for c in classes}
-    model = [(math.log(0.9 if c is None else 0.1 / len(RULES)), [{v: math.log(x) for v, x in r.items()} for r in start[c]]) for c in classes]
+    keys = sorted(patterns, key=str)
+    n = np.array([patterns[k] for k in keys], float)
+    bad = np.array([[v == 0 for v in k] for k in keys], float).reshape(len(keys), len(RULES))
+    voted = np.array([[v is not None for v in k] for k in keys], float).reshape(bad.shape)
+    first = np.array([GOOD] + [(1 - GOOD) / len(KINDS)] * len(KINDS))
+    own_class = [KINDS.index(k) + 1 for k in RULES.values()]
+    model = Model(first, np.full(len(RULES), HIT), np.full(len(RULES), ERROR))
     for _ in range(rounds):
-        share = [0.0] * len(classes)
-        seen = [[dict.fromkeys((1, 0, None), 0.0) for _ in kinds] for _ in classes]
-        for p, n in patterns.items():
-            odds = [math.exp(s + sum(r[v] for r, v in zip(rates, p, strict=True))) for s, rates in model]
-            for c, x in enumerate(odds):
-                x *= n / sum(odds)
-                share[c] += x
-                for k, v in enumerate(p):
-                    seen[c][k][v] += x
-        model = []
-        for c, kind in enumerate(classes):
-            rates = [{v: math.log(BELIEF * start[kind][k][v] + (1 - BELIEF) * seen[c][k][v] / max(share[c], 1e-9)) for v in (1, 0, None)} for k in kinds]
-            first = 0.9 if kind is None else 0.1 / len(RULES)
-            model.append((math.log(BELIEF * first + (1 - BELIEF) * share[c] / total), rates))
+        odds = np.empty((len(keys), len(first)))
+        for c in range(len(first)):
+            r = model.rates(c)
+            odds[:, c] = model.shares[c] * np.exp(bad @ np.log(r) + (voted - bad) @ np.log(1 - r))
+        mass = odds / odds.sum(axis=1, keepdims=True) * n[:, None]
+        own = mass[:, own_class]
+        rest = n[:, None] - own
+        hits = ((own * bad).sum(axis=0) + PSEUDO * HIT) / ((own * voted).sum(axis=0) + PSEUDO)
+        errors = ((rest * bad).sum(axis=0) + PSEUDO * ERROR) / ((rest * voted).sum(axis=0) + PSEUDO)
+        model = Model((mass.sum(axis=0) + PSEUDO * first) / (n.sum() + PSEUDO), np.maximum(hits, errors), errors)
     return model
 
 
 def _judged(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns to keep, the base measures, and one column for each vote."""
     q = measure(docs).select(*keep, "_q.*")
-    q = q.select(*keep, "n_words", "word_chars", "n_symbols", F.col("lines.dup").cast("long").alias("n_dup_lines"), F.col("lines.all").cast("long").alias("n_lines"), "n_repeat_words", "n_capitals")
-    return q.select("*", *(v.alias(n) for n, v in zip(VOTES, votes(), strict=True)))
+    of_lines = {"n_dup_lines": "dup", "n_lines": "all", "n_short": "short", "n_ended": "ended"}
+    base = ("n_words", "word_chars", "n_symbols", "n_repeat_words")
+    q = q.select(*keep, *base, "n_capitals", "n_symbol_words", "n_echoes", "n_distinct", *(F.col(f"lines.{x}").cast("long").alias(n) for n, x in of_lines.items()))
+    votes = (F.when(F.expr(b), 0).when(F.expr(g), 1).cast("int").alias(f"_vote_{r}") for r, (b, g) in conditions().items())
+    return q.select(*keep, *base, "n_dup_lines", *votes)
+
+
+def learn(judged: DataFrame) -> Model:
+    """The model of a judged table's votes; only counts by vote pattern reach the driver."""
+    return estimate({tuple(r[:-1]): r[-1] for r in judged.groupBy(*VOTES).agg(F.count(F.lit(1))).collect()})  # 3 ** 11 rows at most
 
 
-def _with_verdict(q: DataFrame) -> DataFrame:
-    patterns = {tuple(r[:-1]): r[-1] for r in q.groupBy(*VOTES).agg(F.count(F.lit(1))).collect()}  # 729 rows at most
+def _with_verdict(q: DataFrame, model: Model) -> DataFrame:
     odds = []
-    for share, rates in estimate(patterns):
-        log = F.lit(share)
-        for name, r in zip(VOTES, rates, strict=True):
-            log = log + F.when(F.col(name) == 1, r[1]).when(F.col(name) == 0, r[0]).otherwise(r[None])
+    for c, share in enumerate(model.shares):
+        log = F.lit(math.log(share))
+        for name, r in zip(VOTES, model.rates(c), strict=True):
+            log = log + F.when(F.col(name) == 0, math.log(r)).when(F.col(name) == 1, math.log(1 - r)).otherwise(0.0)
         odds.append(F.exp(log))
     good = odds[0] / sum(odds[1:], odds[0])
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED_PERCENT)
@@ -137,20 +169,22 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     probability of 0.5 or more unless the base rules fail. Only counts by vote pattern reach the driver.
 
     Returns a row for each row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    probability. Null, empty and blank texts have no words and fail; repeated rows get equal rows; a null id stays null;
-    an empty table gives an empty result; further columns are ignored, whatever their names.
+    probability. Null, empty and blank texts have no words and fail; texts are measured whole, however long; a probability of just 0.5
+    keeps; repeated rows get equal rows; a null id stays null; an empty table gives an empty result; further columns are
+    ignored, whatever their names.
     """
     q = save(_judged(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id"))
-    return _with_verdict(q).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
+    return _with_verdict(q, learn(q)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs, all columns, that quality_rules keeps.
 
-    The row travels beside its votes through one saved table, so that measures are computed once and no join is needed.
+    One pass counts vote patterns; a second one measures again and lets the good rows through, so no text is written or shuffled. Null and
+    blank texts go; repeated rows go or stay together; columns of any name stay as they are; an empty table gives an empty result.
     """
     q = _judged(docs.select(F.struct("*").alias("_row"), F.col(text).alias("text")), "_row")
-    return _with_verdict(save(q)).where("kept").select("_row.*")
+    return _with_verdict(q, learn(q)).where("kept").select("_row.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,49 +193,44 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql() -> str:
     """The same for DuckDB, EM included: a few common table expressions for each round, over the vote patterns."""
-    kinds, code = range(len(RULES)), {1: 1, 0: 0, None: 2}
-    start = ", ".join(f"({c}, {k}, {code[v]}, {START['own' if c == k else 'other'][v]}e0)" for c in (-1, *kinds) for k in kinds for v in code)
-    first = ", ".join(f"({c}, {0.9 if c < 0 else 0.1 / len(RULES)!r}e0)" for c in (-1, *kinds))
-    bad_good = [
-        (f"n_words < {MIN_WORDS}", "n_words >= 50"),
-        ("n_symbols * 10 > n_words", "n_symbols * 50 <= n_words"),
-        ("n_dup_lines * 10 > n_lines * 3 AND n_dup_lines > 1", "n_dup_lines * 10 <= n_lines"),
-        (f"n_repeat_words * 100 > n_words * {MAX_REPEATED_PERCENT}", "n_repeat_words * 10 <= n_words"),
-        ("mean < 2 OR mean > 20", "mean >= 2.5e0 AND mean <= 12"),
-        ("capitals > 0.4e0", "capitals < 0.2e0"),
-    ]
-    rules = ", ".join(f"CASE WHEN {b} THEN 0 WHEN {g} THEN 1 ELSE 2 END AS v{k}" for k, (b, g) in enumerate(bad_good))
-    pattern = ", ".join(f"v{k}" for k in kinds)
-    votes_of = " UNION ALL ".join(f"SELECT {pattern}, n, {k} AS k, v{k} AS v FROM pat" for k in kinds)
+    rules = ", ".join(f"CASE WHEN {b} THEN 0 WHEN {g} THEN 1 ELSE 2 END AS v{k}" for k, (b, g) in enumerate(conditions().values()))
+    kinds = [KINDS.index(k) + 1 for k in RULES.values()]
+    pattern = ", ".join(f"v{k}" for k in range(len(RULES)))
+    votes = " UNION ALL ".join(f"SELECT p, n, {k} AS k, v{k} AS v FROM pat" for k in range(len(RULES)))
+    start = ", ".join(f"({k}, {c}, {HIT}e0, {ERROR}e0)" for k, c in enumerate(kinds))
+    first = ", ".join(f"({c}, {GOOD if c == 0 else (1 - GOOD) / len(KINDS)!r}e0)" for c in range(len(KINDS) + 1))
     rounds = []
     for t in range(EM_ROUNDS + 1):
-        rounds.append(f"odds{t} AS MATERIALIZED (SELECT {pattern}, o.n, c, exp(any_value(s.ls) + sum(m.lr)) AS x FROM votes o JOIN model{t} m USING (k, v) JOIN share{t} s USING (c) GROUP BY {pattern}, o.n, c)")
-        rounds.append(f"post{t} AS MATERIALIZED (SELECT {pattern}, n, c, x / sum(x) OVER (PARTITION BY {pattern}) AS x FROM odds{t})")
+        rate = "CASE WHEN m.kind = s.c THEN m.hit ELSE m.err END"
+        rounds.append(f"odds{t} AS MATERIALIZED (SELECT p, s.c, any_value(s.s) * exp(sum(CASE v WHEN 0 THEN ln({rate}) WHEN 1 THEN ln(1 - {rate}) ELSE 0 END)) AS x FROM votes JOIN model{t} m USING (k), share{t} s GROUP BY p, s.c)")
+        rounds.append(f"post{t} AS MATERIALIZED (SELECT p, c, x / sum(x) OVER (PARTITION BY p) AS x FROM odds{t})")
         if t < EM_ROUNDS:
-            rounds.append(f"mass{t} AS MATERIALIZED (SELECT c, sum(n * x) AS s FROM post{t} GROUP BY c)")
-            rounds.append(f"share{t + 1} AS MATERIALIZED (SELECT f.c, ln({BELIEF}e0 * f.p + {1 - BELIEF!r}e0 * coalesce(m.s, 0) / (SELECT greatest(sum(n), 1) FROM pat)) AS ls FROM first f LEFT JOIN mass{t} m USING (c))")
-            rounds.append(f"seen{t} AS MATERIALIZED (SELECT c, k, v, sum(o.n * x) AS s FROM post{t} JOIN votes o USING ({pattern}) GROUP BY c, k, v)")
-            rounds.append(f"model{t + 1} AS MATERIALIZED (SELECT c, k, v, ln({BELIEF}e0 * b.r + {1 - BELIEF!r}e0 * coalesce(e.s, 0) / greatest(m.s, 1e-9)) AS lr FROM start b JOIN mass{t} m USING (c) LEFT JOIN seen{t} e USING (c, k, v))")
-    last = f"post{EM_ROUNDS}"
+            rounds.append(f"share{t + 1} AS MATERIALIZED (SELECT f.c, (coalesce(m.s, 0) + {PSEUDO}e0 * f.s) / ((SELECT coalesce(sum(n), 0) FROM pat) + {PSEUDO}e0) AS s FROM first f LEFT JOIN (SELECT c, sum(n * x) AS s FROM post{t} JOIN pat USING (p) GROUP BY c) m USING (c))")
+            sums = "sum(n * x) FILTER (v = 0) AS ob, sum(n * x) FILTER (v <> 2) AS ov, sum(n * (1 - x)) FILTER (v = 0) AS rb, sum(n * (1 - x)) FILTER (v <> 2) AS rv"
+            rounds.append(f"seen{t} AS MATERIALIZED (SELECT k, b.kind, {sums} FROM start b LEFT JOIN (votes JOIN post{t} USING (p)) q USING (k) WHERE q.c = b.kind OR q.c IS NULL GROUP BY k, b.kind)")
+            hit, err = f"(coalesce(ob, 0) + {PSEUDO * HIT!r}e0) / (coalesce(ov, 0) + {PSEUDO}e0)", f"(coalesce(rb, 0) + {PSEUDO * ERROR!r}e0) / (coalesce(rv, 0) + {PSEUDO}e0)"
+            rounds.append(f"model{t + 1} AS MATERIALIZED (SELECT k, kind, greatest({hit}, {err}) AS hit, {err} AS err FROM seen{t})")
+    word = r"[^\x20\x09-\x0D]"
     return rf"""
 WITH texts AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT id, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts),
+w AS (SELECT id, doc_id, t, regexp_extract_all(t, '{word}+') AS w FROM texts),
 grams AS (SELECT id, i, list_slice(w, i, i + {WINDOW - 1}) AS g FROM w, LATERAL (SELECT unnest(range(1, len(w) - {WINDOW - 2})) AS i) WHERE len(w) >= {WINDOW}),
 twice AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, g) AS n FROM grams) q WHERE n > 1),
 covered AS (SELECT id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, {WINDOW})) AS k) GROUP BY id),
-lines AS (SELECT id, count(*) AS n, count(*) - count(DISTINCT l) AS dup FROM (SELECT id, unnest(string_split(t, chr(10))) AS l FROM texts) q WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY id),
+lines AS (SELECT id, count(*) AS n, count(*) - count(DISTINCT l) AS dup, count(*) FILTER (len(regexp_extract_all(l, '{word}+')) < 4) AS short, count(*) FILTER (regexp_matches(l, '[.!?]["'')\]]*[\x20\x09-\x0D]*$')) AS ended
+  FROM (SELECT id, unnest(string_split(t, chr(10))) AS l FROM texts) q WHERE regexp_matches(l, '{word}') GROUP BY id),
 q AS (SELECT w.id, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
-  CAST(coalesce(lines.dup, 0) AS BIGINT) AS n_dup_lines, coalesce(lines.n, 0) AS n_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, len(regexp_extract_all(t, '\p{{Lu}}')) AS n_capitals
+  CAST(coalesce(lines.dup, 0) AS BIGINT) AS n_dup_lines, coalesce(lines.n, 0) AS n_lines, coalesce(lines.short, 0) AS n_short, coalesce(lines.ended, 0) AS n_ended, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
+  len(regexp_extract_all(t, '\p{{Lu}}')) AS n_capitals, len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]$'))) AS n_symbol_words, len(list_filter(list_zip(w[2:], w), lambda x: x[1] = x[2])) AS n_echoes, len(list_distinct(w)) AS n_distinct
   FROM w LEFT JOIN lines USING (id) LEFT JOIN covered USING (id)),
-m AS (SELECT *, word_chars / greatest(n_words, 1)::DOUBLE AS mean, n_capitals / greatest(word_chars, 1)::DOUBLE AS capitals FROM q),
-voted AS MATERIALIZED (SELECT *, {rules} FROM m),
-pat AS MATERIALIZED (SELECT {pattern}, count(*) AS n FROM voted GROUP BY {pattern}),
-votes AS MATERIALIZED ({votes_of}),
-start AS MATERIALIZED (SELECT * FROM (VALUES {start}) AS x(c, k, v, r)),
-first AS MATERIALIZED (SELECT * FROM (VALUES {first}) AS x(c, p)),
-model0 AS MATERIALIZED (SELECT c, k, v, ln(r) AS lr FROM start),
-share0 AS MATERIALIZED (SELECT c, ln(p) AS ls FROM first),
+voted AS MATERIALIZED (SELECT *, {rules} FROM q),
+pat AS MATERIALIZED (SELECT row_number() OVER () AS p, * FROM (SELECT {pattern}, count(*) AS n FROM voted GROUP BY {pattern}) g),
+votes AS MATERIALIZED ({votes}),
+start AS MATERIALIZED (SELECT * FROM (VALUES {start}) AS x(k, kind, hit, err)),
+first AS MATERIALIZED (SELECT * FROM (VALUES {first}) AS x(c, s)),
+model0 AS MATERIALIZED (SELECT k, kind, hit, err FROM start),
+share0 AS MATERIALIZED (SELECT c, s FROM first),
 {", ".join(rounds)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND x >= 0.5 AS kept, round(x, 6) AS probability
-FROM (SELECT *, n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEATED_PERCENT} AS base_failed FROM voted) d JOIN (SELECT * FROM {last} WHERE c = -1) p USING ({pattern})
+FROM (SELECT *, n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEATED_PERCENT} AS base_failed FROM voted) d JOIN pat USING ({pattern}) JOIN post{EM_ROUNDS} USING (p) WHERE c = 0
 """

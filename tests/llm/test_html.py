@@ -81,7 +81,11 @@ def test_neighbours_above_the_threshold_join():
 
 
 def test_ties_and_very_long_pages():
-    twice = f"<body><div><p>{ONE}</p></div><table><tr><td><a href=x>a</a></td></tr></table></body>"
-    assert html_text.main_text(twice) == ONE
+    part = f"<div><p>{ONE}</p><p>{TWO}</p><p>{THREE}</p></div>"
+    twice = f"<body>{MENU}{part}{part}<div>imprint</div></body>"
+    d = html_text.Densities(html_text.Tree(twice))
+    same = [k for k, x in enumerate(d.sum) if d.t.tag[k] == "div" and x]
+    assert d.sum[same[0]] == d.sum[same[1]] and d.choose() == same[0]
+    assert html_text.main_text(twice) == "\n".join([ONE, TWO, THREE] * 2)
     long = f"<body>{MENU}<article>" + f"<p>{ONE}</p>" * 20_000 + "</article></body>"
     assert html_text.main_text(long) == "\n".join([ONE] * 20_000)

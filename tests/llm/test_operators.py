@@ -134,6 +134,18 @@ def test_quality(spark, docs, odd, none):
     assert y > 0.95
 
 
+def test_quality_agrees_better_with_labels_than_all_must_pass(spark):
+    folder = "/root/testdata/sf0.01"
+    q = quality._judged(load(spark, folder, "documents"), "doc_id")
+    every = F.lit(True)
+    for v in quality.VOTES:
+        every = every & ~F.col(v).eqNullSafe(0)
+    judged = quality._with_verdict(q, quality.learn(q)).withColumn("every", every & ~F.col("base_failed"))
+    r = judged.join(load(spark, folder, "labels"), "doc_id").where("not base_failed").select("kept", "every", "quality").collect()
+    right, plain = (sum(x[k] == bool(x["quality"]) for x in r) / len(r) for k in ("kept", "every"))
+    assert right > 0.98 and right > plain + 0.03
+
+
 def test_contained_items(spark, docs, odd, none):
     items = spark.createDataFrame([(1, PROSE), (2, None), (3, "one two"), (None, "fox jumps over the lazy dog while"), (5, "nothing of this is there at all")], "item_id long, text string")
     more = spark.createDataFrame(rows((10, f"before {PROSE.lower()} after"), (11, "One  two"), (12, "one two three"), (13, PROSE.replace("river", "stream"))), SCHEMA)

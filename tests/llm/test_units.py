@@ -162,17 +162,46 @@ def test_log_bilinear_is_normalised_and_learns():
     assert all(10 ** table[(k * lm.UNITS + k), (k + 1) % 5] > 0.5 for k in range(5))
 
 
-def test_estimate_follows_every_kind_of_junk():
-    good = (1,) * 6
-    bad = {k: tuple(0 if j == k else 1 for j in range(6)) for k in range(6)}
-    model = quality.estimate({good: 9000, **{b: 50 * (k + 1) for k, b in bad.items()}})
-
-    def p(votes):
-        odds = [np.exp(s + sum(r[v] for r, v in zip(rates, votes, strict=True))) for s, rates in model]
-        return odds[0] / sum(odds)
-
-    assert p(good) > 0.9 and all(p(b) < 0.5 for b in bad.values())
-    assert len(quality.estimate({})) == 7
+def _good(model, votes):
+    """Probability of a document with such votes, from the definition."""
+    odds = [model.shares[c] * np.prod([1.0 if v is None else r if v == 0 else 1 - r for v, r in zip(votes, model.rates(c), strict=True)]) for c in range(len(model.shares))]
+    return odds[0] / sum(odds)
+
+
+def _pattern(**votes):
+    return tuple(votes.get(r, 1) for r in quality.RULES)
+
+
+def test_estimate_follows_rules_that_agree_and_overrules_a_noisy_one():
+    good, symbols, repeats = _pattern(), _pattern(symbols=0, symbol_words=0), _pattern(repetition=0, duplicate_lines=0)
+    noisy, both = _pattern(short_lines=0), _pattern(short_lines=0, symbols=0, symbol_words=0)
+    echoes = _pattern(repetition=0, echoes=0, variety=0)
+    counts = {good: 6500, noisy: 2800, symbols: 250, both: 110, repeats: 120, echoes: 120}
+    m = quality.estimate(counts)
+    rule = list(quality.RULES).index
+    assert m.errors[rule("short_lines")] == pytest.approx(0.3, abs=0.02) and m.errors[rule("symbols")] < 0.01 and m.hits[rule("symbols")] > 0.95
+    assert _good(m, noisy) > 0.9 and _good(m, good) > 0.9  # the lone bad vote of an unreliable rule
+    assert all(_good(m, x) < 0.1 for x in (symbols, both, repeats, echoes))
+    assert (m.hits >= m.errors).all()
+    # the same rule counts where the others bear it out
+    m = quality.estimate({good: 9000, _pattern(short_lines=0, line_ends=0, capitals=0): 500})
+    assert _good(m, _pattern(short_lines=0, line_ends=0, capitals=0)) < 0.1 and m.hits[rule("short_lines")] > 0.9
+    empty = quality.estimate({})
+    assert empty.shares.sum() == pytest.approx(1) and _good(empty, good) > 0.9
+
+
+def test_estimate_is_a_fixed_point_of_plain_em():
+    r = random.Random(3)
+    counts = {}
+    for _ in range(4000):
+        kind = r.choices(["", *quality.KINDS], [8, 1, 1, 1])[0]
+        v = tuple(None if r.random() < 0.1 else int(r.random() > (0.7 if k == kind else 0.05)) for k in quality.RULES.values())
+        counts[v] = counts.get(v, 0) + 1
+    a, b = quality.estimate(counts, 300), quality.estimate(dict(reversed(counts.items())), 301)
+    assert np.allclose(a.hits, b.hits, atol=1e-6) and np.allclose(a.errors, b.errors, atol=1e-6) and np.allclose(a.shares, b.shares, atol=1e-6)
+    assert np.allclose(a.hits, 0.7, atol=0.08) and np.allclose(a.errors, 0.05, atol=0.02) and a.shares[0] == pytest.approx(8 / 11, abs=0.03)
+    post = {v: _good(a, v) for v in counts}
+    assert sum(n * post[v] for v, n in counts.items()) / (4000 + quality.PSEUDO) + quality.PSEUDO * quality.GOOD / (4000 + quality.PSEUDO) == pytest.approx(a.shares[0], abs=1e-6)
 
 
 def test_common_prefix_and_masks():
