@@ -12,6 +12,8 @@ BLANK_CLASS = r"[\x20\x09-\x0D]"
 BLANKS = " \t\n\x0b\x0c\r"
 #: Most rows that may be broadcast after they were counted; each has a few numbers or short strings.
 BROADCAST_ROWS = 1_000_000
+#: Rows that a Python worker has as Python objects at once.
+ROWS = 500
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,7 +49,7 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def slices(column, rows: int = 500):
+def slices(column, rows: int = ROWS):
     """The values of an Arrow column as lists of at most so many, so that a worker never has a whole batch as Python objects."""
     for k in range(0, len(column), rows):
         yield column.slice(k, rows).to_pylist()

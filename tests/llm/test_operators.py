@@ -222,6 +222,28 @@ def test_pii(odd, none):
     assert out.where("doc_id = 3 and text is null").count() == 1 and pii.redact(none).count() == 0
 
 
+def test_pii_over_a_whole_table(spark):
+    """Base columns by plain patterns; every span by the field's decoder on each text alone; secrets and split numbers are added."""
+    from test_units import plain_spans
+
+    folder, f = "/root/testdata/sf0.01", pii.Field()
+    texts = {r["doc_id"]: r["text"] or "" for r in load(spark, folder, "documents").collect()}
+    added = 0
+    for r in pii.op4_pii(spark, folder).collect():
+        t = texts.pop(r["doc_id"])
+        base = plain_spans(t)
+        written = ",".join(f"{pii.FOUND[k]}:{s}:{e}" for s, k, e in base)
+        assert r["base_sha256"] == hashlib.sha256(written.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x == n for _, x, _ in base) for n in range(4)]
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert set(written.split(",") if written else []) <= set(spans)
+        assert r["spans"] == ",".join(f"{pii.FOUND[k]}:{s}:{e}" for s, k, e in pii.find_spans([t], f)[0][1])
+        secrets = {f"secret:{m.start(1)}:{m.end(1)}" for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
+        assert secrets <= set(spans)
+        added += len(spans) - len(base)
+    assert not texts and added >= 10
+
+
 def test_bpe(odd, none):
     file = bpe.default_file()
     found = bpe.bpe_round_trip(odd, file).collect()
@@ -288,7 +310,7 @@ def test_pipeline(spark, docs):
         t, done, out = texts[i], 0, ""
         for s, k, end in pii.find_spans([t], field)[0][1]:
             if s >= done:
-                out += t[done:s] + f"<{pii.KINDS[k].upper()}>"
+                out += t[done:s] + f"<{pii.FOUND[k].upper()}>"
             done = max(done, end)
         want[i] = hashlib.sha256(next(iter(e.encode([out + t[done:]])))).hexdigest()
     found = {r["doc_id"]: r["ids_sha256"] for r in corpus_pipeline.run(spark, FOLDER).collect()}

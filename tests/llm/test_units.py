@@ -76,10 +76,14 @@ def test_base_spans():
         pii.base_spans(t)  # linear
 
 
+def in_line(words):
+    return [pii.BREAK, *(w.encode() for w in words), pii.BREAK]
+
+
 def test_field_learns_its_table_and_adds_spans():
     f = pii.Field()
     lines = [f._parse(x) for x in pii.TABLE.strip().splitlines()]
-    right = sum(f.decode([w])[0] == y for w, y in lines)
+    right = sum(f.decode(in_line(w))[1:-1].tolist() == y for w, y in lines)
     assert right >= 0.95 * len(lines)
     t = "call (017) 555-7713 today or +1 (017) 555-7713; no harm in 2021 and 12 items"
     base, spans = pii.find_spans([t], f)[0]
@@ -87,14 +91,107 @@ def test_field_learns_its_table_and_adds_spans():
     assert set(base) <= set(spans) and "(017) 555-7713" in [t[s:e] for s, _, e in spans]
 
 
+def plain_viterbi(f, words):
+    """Labels of one line by the definition: all words, no bounds."""
+    row = [("\n",), ("\n",), *((w,) for w in words), ("\n",), ("\n",)]
+    e = [sum((f.weights.get(f"{side}{x}", np.zeros(len(pii.LABELS))) for side in f.SIDES for x in pii.features(row[k + side][0])), np.zeros(len(pii.LABELS))) for k in range(2, len(row) - 2)]
+    best, back = f.trans[0] + e[0], []
+    for x in e[1:]:
+        step = best[:, None] + f.trans
+        back.append(step.argmax(axis=0))
+        best = step.max(axis=0) + x
+    y = [int((best + f.trans[:, 0]).argmax())]
+    for b in back[::-1]:
+        y.append(int(b[y[-1]]))
+    return y[::-1]
+
+
+def test_decoding_in_runs_is_viterbi_over_whole_lines():
+    f, r = pii.Field(), random.Random(4)
+    pool = sorted({w for x in pii.TABLE.strip().splitlines() for w in f._parse(x)[0]})
+    lines = [[r.choice(pool) for _ in range(r.randrange(1, 40))] for _ in range(400)] + [[r.choice(pool)] * 300 for _ in range(20)] + [["(212)", "555-0147"] * 700]
+    words = [x for w in lines for x in in_line(w)]
+    got, at = f.decode(words).tolist(), 0
+    for w in lines:
+        assert got[at + 1 : at + 1 + len(w)] == plain_viterbi(f, w)
+        at += len(w) + 2
+
+
 def test_viterbi_is_the_best_path():
     f = pii.Field(rounds=20)
     words = "ring (212) 555-0147 now".split()
-    v = [f._vectors(w) for w in words]
-    e = [v[k][0] + (v[k - 1][1] if k else 0) + (v[k + 1][2] if k + 1 < len(words) else 0) for k in range(len(words))]
-    score = lambda y: sum(e[k][a] for k, a in enumerate(y)) + sum(f.trans[a, b] for a, b in itertools.pairwise(y))
+    e = f._emissions(f.ids(in_line(words)), np.arange(1, len(words) + 1))
+    score = lambda y: sum(e[k][a] for k, a in enumerate(y)) + sum(f.trans[a, b] for a, b in itertools.pairwise((0, *y, 0)))
     best = max(itertools.product(range(len(pii.LABELS)), repeat=len(words)), key=score)
-    assert score(f.decode([words])[0]) == pytest.approx(score(best))
+    assert score(f.decode(in_line(words))[1:-1].tolist()) == pytest.approx(score(best))
+
+
+#: Frames and fillers that are not in the table; digits are drawn anew.
+FRAMES = {
+    "phone": ["you may ring {} after lunch", "our fax is {} since may", "call {} or come by", "phone {} for a table"],
+    "email": ["please write to {} soon", "mail {} for details", "send the form to {} today", "contact {} before friday"],
+    "ip": ["the server {} is slow again", "host {} went down", "ping {} twice"],
+    "card": ["card {} was declined", "visa {} has expired", "paid with {} last week"],
+    "secret": ['and token = "{}" was found', 'token = "{}" la de los', "secret: {} in the log", 'THE TOKEN = "{}"!! OF!!'],
+    "": ["in {} there were {} of them", "page {} of {} is torn", "it costs {} or {} euros", "the {} of {} and {}", "version {} is out", "number {} is unknown"],
+}
+
+
+def drawn(r, kind):
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    if kind == "phone":
+        return r.choice([f"({r.randrange(200, 999)}) 555-{d(4)}", f"{r.randrange(200, 999)}-555-{d(4)}", f"{r.randrange(200, 999)}.555.{d(4)}", f"1-8{d(2)}-555-{d(4)}"])
+    if kind == "email":
+        u, h = r.choice(["lee.park", "k.novak", "rosa_diaz", "desk", "j.abel"]), r.choice(["example.com", "mail.example.net", "post.example.org"])
+        return r.choice([f"{u} (at) {h}", f"{u}[at]{h}", f"{u}(at){h}", f"{u} at {h}", f"{u}@localhost"])
+    if kind == "ip":
+        return ".".join(str(r.randrange(1, 255)) for _ in range(4)) + r.choice([f":{d(4)}", f"/{r.randrange(8, 30)}"])
+    if kind == "card":
+        stem = "4" + d(14)
+        digits = next(stem + x for x in "0123456789" if pii.luhn(stem + x))
+        return r.choice("./").join(digits[k : k + 4] for k in range(0, 16, 4))
+    return "".join(r.choice("0123456789abcdef") for _ in range(40)) if kind == "secret" else r.choice([d(1), d(2), d(3), f"{d(2)}.{d(2)}", f"1{d(3)}", f"{d(1)},{d(3)}.00", d(4), f"{d(2)}:{d(2)}"])
+
+
+def test_precision_and_recall_of_added_spans():
+    f, r = pii.Field(), random.Random(5)
+    wanted = found = right = 0
+    for _ in range(1500):
+        kind = r.choice([*pii.FOUND, "", "", ""])
+        frame, want, t = r.choice(FRAMES[kind]), set(), ""
+        for k, part in enumerate(frame.split("{}")):
+            if k:
+                x = drawn(r, kind)
+                if kind:
+                    want.add((kind, len(t), len(t) + len(x)))
+                t += x
+            t += part
+        _, spans = pii.find_spans([t], f)[0]
+        base = {(pii.FOUND[k], s, e) for s, k, e in pii.base_spans(t)}
+        got = {(pii.FOUND[k], s, e) for s, k, e in spans}
+        if kind in ("ip", "email") and base:  # the exact pattern has the address already
+            continue
+        wanted, found, right = wanted + len(want), found + len(got - base), right + len(want & got)
+    assert right / wanted > 0.9 and right / found > 0.9, (right, wanted, found)
+
+
+def test_neighbours_are_two_spans_and_spelled_mail_is_found():
+    f = pii.Field()
+    show = lambda t: [(pii.FOUND[k], t[s:e]) for s, k, e in pii.find_spans([t], f)[0][1]]
+    assert show("(212) 555-0147 (415) 555-2671") == [("phone", "(212) 555-0147"), ("phone", "(415) 555-2671")]
+    assert show("mail anna.berg at example.org now") == [("email", "anna.berg at example.org")]
+    glued = "ument éreé. Des +1 (826) 555-4081 190.137.223.204 du"  # the exact phone pattern runs on into the address and fails
+    assert show(glued) == [("phone", "+1 (826) 555-4081"), ("ip", "190.137.223.204")]
+    assert show('word\ntoken = "' + "0a1b2c3d4e" * 4 + '"\nword') == [("secret", "0a1b2c3d4e" * 4)]
+    assert show("at home\n555-0147 (212)\nat last") == show("") == []
+
+
+def test_words_are_read_to_their_end():
+    assert pii.features("x1" * 40 + "a.b") != pii.features("x1" * 40 + "a-b")
+    assert pii.features("9" * 70) != pii.features("9" * 70 + "a") and pii.features("(" * 9 + "1") != pii.features("(" * 8 + "1")
+    f = pii.Field()
+    long = "1a" * 500_000
+    assert pii.find_spans([long, f"{long} 10.0.0.1:80 {long}"], f)[0][1] == []
 
 
 @pytest.mark.parametrize(
