@@ -6,12 +6,13 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 #: Characters that separate words, as a regular expression class and as a string for trimming.
 BLANK_CLASS = r"[\x20\x09-\x0D]"
 BLANKS = " \t\n\x0b\x0c\r"
-#: Most rows that may be broadcast after they were counted; each has a few numbers or short strings.
-BROADCAST_ROWS = 1_000_000
+#: Most bytes that may be broadcast, as measured over the whole table.
+BROADCAST_BYTES = 32 << 20
 #: Rows that a Python worker has as Python objects at once.
 ROWS = 500
 
@@ -82,9 +83,21 @@ def save(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint when a count proves that df has few rows; else df, which Spark then joins by shuffling. df should be cheap to count."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _width(kind: DataType, value: Column) -> Column:
+    """Bytes of a value, roughly: its strings' and 8 for anything else of fixed size."""
+    if isinstance(kind, StructType):
+        return sum((_width(f.dataType, value[f.name]) for f in kind), F.lit(8))
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 8
+    if isinstance(kind, (ArrayType, MapType)):
+        return F.octet_length(F.to_json(value)) + 8
+    return F.lit(8)
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint when its measured bytes, all rows counted, are few; else df, which Spark then joins by shuffling. df should be cheap to read."""
+    n = df.agg(F.sum(sum((_width(f.dataType, df[f.name]) for f in df.schema), F.lit(16)).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if n <= most else df
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from sumweave.llm import chat
+from sumweave.llm import chat, decontaminate
 from sumweave.llm.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -37,3 +37,17 @@ def test_pairs(spark):
     rows = df.collect()
     assert {r["status"] for r in rows} == {"single", "equal", "pair"}
     assert show(rows, df.columns) == show(found.fetchall(), [d[0] for d in found.description])
+
+
+def test_short_items(spark):
+    docs = [(1, "one two three four five six"), (2, "Two  Three"), (3, "three two"), (4, None), (5, " ")]
+    items = [(1, "two three"), (2, "six"), (3, "two three four five six"), (4, ""), (5, "one two three four five seven")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    df = decontaminate.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = con.execute(decontaminate.SQL)
+    assert show(df.collect(), df.columns) == show(found.fetchall(), [d[0] for d in found.description])
+    assert {(r["doc_id"], r["item_id"]) for r in df.collect()} == {(1, 1), (2, 1), (1, 2), (1, 3)}
