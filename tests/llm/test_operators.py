@@ -223,12 +223,73 @@ def test_licenses(spark, odd, none):
     assert licenses.scan_licenses(licenses.document_files(none), key="doc_id").count() == 0
 
 
-def test_anchors_lose_no_match():
-    vectors, _ = licenses.template_weights()
-    marks = licenses.anchors(vectors, licenses.THRESHOLD)
-    for v in vectors.values():
-        left = math.sqrt(sum(x * x for t, x in v.items() if not any(m in t for m in marks)))
-        assert left < licenses.THRESHOLD
+def plain_license(text, whole=False, threshold=licenses.THRESHOLD):
+    """The best template of a text from all its units, by the formula and without bounds."""
+    vectors, idf = licenses.template_weights()
+    top = math.log(1 + len(vectors)) + 1
+    lines = [x for x in text.split("\n") if re.search("[A-Za-z0-9]", x)]
+    units = [" ".join(lines[i : i + n]) for n in range(1, licenses.LINES + 1) for i in range(len(lines) - n + 1)]
+    units += re.split(r"\n(?:[^A-Za-z0-9\n]*\n)+", text) + [m[1] for m in re.finditer(licenses._COMMENT, text)] + [text] * whole
+    best = (threshold, "")
+    for u in set(units):
+        raw = {t: (1 + math.log(n)) * idf.get(t, top) for t, n in Counter(re.findall(licenses.TOKEN, u.lower())).items()}
+        norm = math.sqrt(sum(x * x for x in raw.values())) or 1.0
+        best = max(best, *((round(sum(raw.get(t, 0.0) * x for t, x in v.items()) / norm, 9), n) for n, v in vectors))
+    return best[1] or None
+
+
+MIT_FILE = f"MIT License\n\nCopyright (c) 2019 A. Person\n\n{licenses._MIT}\n\n{licenses._MIT_NOTICE}\n\n{licenses._WARRANTY}\n"
+HEADERS = {
+    "SPDX-License-Identifier: Apache-2.0\nint main() {}": "Apache-2.0",
+    "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;": "GPL-2.0",
+    "#!/bin/sh\n# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\necho hello world": "GPL-3.0",
+    "/*\n * Copyright 2020 Somebody\n *\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n *   http://www.apache.org/licenses/LICENSE-2.0\n */\npackage x;": "Apache-2.0",
+    "-- This Source Code Form is subject to the terms of the Mozilla Public\n-- License, v. 2.0. If a copy of the MPL was not distributed with this\n-- file, You can obtain one at https://mozilla.org/MPL/2.0/.\nSELECT 1": "MPL-2.0",
+    MIT_FILE: "MIT",
+    f"Copyright 2001 X\n\n{licenses._BSD}\n\n{licenses._BSD_1}\n{licenses._BSD_2}\n{licenses._BSD_3}\n\n{licenses._BSD_WARRANTY}": "BSD-3-Clause",
+    "some text\nReleased under the MIT License.": "MIT",
+    "the driver has a public license to work under the terms of this county": None,
+    "All rights reserved. No license is granted.": None,
+}
+
+
+def test_licenses_of_headers_and_whole_texts(spark):
+    import glob
+
+    texts = list(HEADERS)
+    wanted = list(HEADERS.values())
+    for f in sorted(glob.glob("/usr/share/common-licenses/*-[0-9]*")):  # where the system has them
+        with open(f, errors="replace") as text:
+            texts.append(text.read())
+        wanted.append({"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}.get(f.rsplit("/", 1)[1], "?"))
+    files = spark.createDataFrame([(k, f"d{k}/{'LICENSE' if '\n\n' in t else 'x.c'}", t) for k, t in enumerate(texts)], "key long, path string, text string")
+    found = {r["key"]: r["license"] for r in licenses.scan_licenses(files).collect()}
+    for k, (t, w) in enumerate(zip(texts, wanted, strict=True)):
+        assert found[k] == plain_license(t, "\n\n" in t)
+        assert w == "?" or found[k] == w
+
+
+def test_license_bounds_lose_no_match(spark):
+    """Templates with words left out, changed and added, against the plain formula."""
+    import random
+
+    r, texts = random.Random(6), []
+    for _ in range(400):
+        words = r.choice(licenses.TEMPLATES)[1].split()
+        words = [w for w in words if r.random() > 0.12] + [f"other{r.randrange(50)}" for _ in range(r.choice([0, 0, 1, 2, 5]))]
+        texts.append(" ".join(["prose of one kind"] * r.choice([0, 0, 1]) + words[: len(words) // 2] + r.choice([[], ["\n"], ["\n#"]]) + words[len(words) // 2 :]))
+    files = spark.createDataFrame([(k, f"d{k}/x.c", t) for k, t in enumerate(texts)], "key long, path string, text string")
+    found = {r["key"]: r["license"] for r in licenses.scan_licenses(files).collect()}
+    want = {k: plain_license(t) for k, t in enumerate(texts)}
+    assert found == want and 100 < sum(x is not None for x in want.values()) < 390
+
+
+def test_documents_inherit_within_their_directory(spark):
+    rows = licenses.op8_licenses(spark, "/root/testdata/sf0.01").collect()
+    given = {r["path"].rsplit("/", 1)[0]: r["license"] for r in rows if "/LICENSE." in r["path"] and r["origin"] == "own"}
+    inherited = [r for r in rows if r["origin"] == "inherited"]
+    assert len(inherited) > 10 and all(r["path"].rsplit("/", 1)[0] in given and r["score"] is None for r in inherited)
+    assert all(r["path"].rsplit("/", 1)[0] not in given for r in rows if r["origin"] == "none")
 
 
 @pytest.mark.parametrize("frequent", [300_000, 50])
