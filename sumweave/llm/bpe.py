@@ -18,9 +18,9 @@ from .common import load, slices
 #: Bytes that the rolling hash sees, and one in how many spaces ends a chunk on average.
 WINDOW, EVERY = 8, 64
 #: Entries beyond which a cache starts anew, and characters that are encoded between two such checks.
-CHUNKS, WORDS, JOINS, BATCH_CHARS = 40_000, 300_000, 50_000, 3_000_000
-#: Punctuation that is tried as an end of words which are otherwise known.
-TAILS = ".,;:!?*#$%&|"
+CHUNKS, JOINS, BATCH_CHARS = 40_000, 100_000, 3_000_000
+#: Chunks that go through the library in one call, with marks between them.
+TOGETHER = 500
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -49,7 +49,7 @@ class _Cache(dict):
 
 
 class ChunkEncoder:
-    """Encodes texts as a tokenizer of the tokenizers library does, each distinct chunk once.
+    """Encodes texts as a tokenizer of the tokenizers library does, each distinct chunk once while the cache holds it, whichever texts share it.
 
     A chunk runs from one cut to the next. What the library's pipeline does with the text around a cut may differ from what it does
     with the two parts, so each join is tried: the last word before and the first word after it are encoded together
@@ -64,33 +64,22 @@ class ChunkEncoder:
         self.t = Tokenizer.from_file(file)
         self.t.no_truncation()
         self.t.no_padding()
-        self.chunks, self.words, self.cores, self.joins = _Cache(), _Cache(), _Cache(), _Cache()
+        self.chunks, self.joins = _Cache(), _Cache()
+        self.seen = self.encoded = 0  # bytes of all chunks, and of those that the library encoded
         self.mark = self._special()
         spec = json.loads(self.t.to_str())
-        self.by_word = self._blanks_always_split(spec)
         # without a decoder the library joins the tokens by spaces
         self.tokens = None if spec.get("decoder") else {i: w for w, i in self.t.get_vocab(with_added_tokens=True).items()}
-        self.folds = self.by_word and self._tails_split()
-
-    @staticmethod
-    def _blanks_always_split(spec: dict) -> bool:
-        """Whether the tokenizer drops blanks between pieces, so that words separated by blanks never affect each other."""
-        pre = spec.get("pre_tokenizer") or {}
-        steps = pre.get("pretokenizers", [pre])
-        split = next((s for s in steps if s.get("type") == "Split"), None)
-        pattern = ((split or {}).get("pattern") or {}).get("Regex", "")
-        drops = bool(split) and split.get("behavior") == "Removed" and split.get("invert") and r"[^\s" in pattern and r"\s+" not in pattern.replace(r"[^\s", "")
-        return bool(drops and not any(s.get("add_prefix_space") for s in steps) and not spec.get("post_processor"))
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _short(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each of many short texts. The library splits at special tokens before all else, so texts with one between them are
+    def _apart(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each of many texts. The library splits at special tokens before all else, so texts with one between them are
         encoded in one call; a text that might contain one goes alone."""
         mark, end = self.mark
-        for k in range(0, len(texts), 2000):
-            part = texts[k : k + 2000]
+        for k in range(0, len(texts), TOGETHER):
+            part = texts[k : k + TOGETHER]
             if not mark or any("<" in t for t in part):
                 yield from self._library(part)
                 continue
@@ -104,47 +93,18 @@ class ChunkEncoder:
                 return token.content, i
         return "", -1
 
-    def _tails_split(self) -> bool:
-        """Whether punctuation after a letter is always a piece of its own, and capitals of ASCII are as good as small letters."""
-        pieces = [self.t.pre_tokenizer.pre_tokenize_str(f"a{x}{y}") for x in TAILS for y in TAILS]
-        same = self._library(["Zq", "ABCDEFGHIJKLM", "NOPQRSTUVWXYZ"]) == self._library(["zq", "abcdefghijklm", "nopqrstuvwxyz"])
-        return same and all(len(p) == 2 and p[0][0] == "a" for p in pieces)
-
-    def _learn(self, words: set[str]) -> None:
-        """Puts the words that aren't in the cache there. Words that differ in ASCII capitals or in punctuation at the end share
-        what is encoded, where the tokenizer treats these apart."""
-        missing = list(words - self.words.keys())
-        if not self.folds:
-            self.words.update(zip(missing, self._short(missing), strict=True))
-            return
-        parts = []
-        for w in missing:
-            c = w.rstrip(TAILS)
-            tail = w[len(c) :] if c and c[-1].isalpha() and c[-1].lower().isalpha() else ""
-            c = c if tail else w
-            parts.append((c.lower() if c.isascii() and "<" not in c else c, tail))
-        new = list({x for p in parts for x in p} - self.cores.keys())
-        self.cores.update(zip(new, self._short(new), strict=True))
-        got = self.cores
-        self.words.update((w, got[c] + got[tail] if tail else got[c]) for w, (c, tail) in zip(missing, parts, strict=True))
-
     def _encode_new(self, chunks: list[str]) -> None:
-        """Encodes chunks that are in no cache."""
-        if not self.by_word:
-            for k in range(0, len(chunks), 1024):
-                self.chunks.update(zip(chunks[k : k + 1024], self._library(chunks[k : k + 1024]), strict=True))
-            return
-        split = [c.replace("\n", " ").split(" ") for c in chunks]
-        self._learn(set().union(*split))
-        ids = self.words.__getitem__
-        self.chunks.update((c, b"".join(map(ids, s))) for c, s in zip(chunks, split, strict=True))
+        """Has the library encode chunks that are in no cache."""
+        self.encoded += sum(map(len, chunks))
+        self.chunks.update(zip(chunks, self._apart(chunks), strict=True))
 
     def _agree(self, pairs: list[tuple[str, str]]) -> None:
-        """Notes for each pair of texts whether they have together the ids that they have apart."""
+        """Notes for each pair of words around a cut whether they have together the ids that they have apart."""
         new = list(set(pairs) - self.joins.keys())
-        self._learn({x for p in new for x in p})
-        both = self._short([a + b for a, b in new])
-        self.joins.update((p, ids == self.words[p[0]] + self.words[p[1]]) for p, ids in zip(new, both, strict=True))
+        words = list({x for p in new for x in p})
+        apart = dict(zip(words, self._apart(words), strict=True))
+        both = self._apart([a + b for a, b in new])
+        self.joins.update((p, ids == apart[p[0]] + apart[p[1]]) for p, ids in zip(new, both, strict=True))
 
     def _repair(self, left: str, right: str, ids: bytes) -> bytes:
         """Ids of left + right, where ids are those of left, from wider and wider parts around the join."""
@@ -165,8 +125,9 @@ class ChunkEncoder:
             data = t.encode("utf-8", "surrogatepass")
             edges = [0, *cuts(data), len(data)]
             cut.append([data[x:y].decode("utf-8", "surrogatepass") for x, y in zip(edges, edges[1:], strict=False)])
-        for cache, most in ((self.chunks, CHUNKS), (self.words, WORDS), (self.cores, WORDS), (self.joins, JOINS)):
-            cache.trim(most)
+        self.chunks.trim(CHUNKS)
+        self.joins.trim(JOINS)
+        self.seen += sum(len(c) for t in cut for c in t)
         self._encode_new(list({c for t in cut for c in t} - self.chunks.keys()))
         ends = [[(a.rsplit(" ", 1)[-1], b[: b.find(" ", 1)] if b.find(" ", 1) > 0 else b) for a, b in zip(t, t[1:], strict=False)] for t in cut]
         self._agree([p for e in ends for p in e])
@@ -209,8 +170,9 @@ def bpe_round_trip(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str
 
     Returns for each row doc_id, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers), decoded_sha256 (of the decoded
     text) and, with outputs, ids and decoded themselves. Null texts count as empty and have no ids; special tokens' strings in a
-    text become their ids, as in the library; repeated rows stay; an empty table gives an empty result; further columns are ignored,
-    whatever their names. Each worker encodes a chunk once while its bounded cache holds it.
+    text become their ids, as in the library; very long texts are encoded whole; a null id stays null; repeated rows stay; an empty
+    table gives an empty result; further columns are ignored, whatever their names. Each worker has the library encode a chunk once
+    while its bounded cache holds it, for all texts of its partitions.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -356,6 +356,21 @@ def test_bpe(odd, none):
     assert bpe.bpe_round_trip(none, file).count() == 0
 
 
+def test_bpe_over_a_whole_table(spark):
+    """Every row of the query against the library, text by text."""
+    from tokenizers import Tokenizer
+
+    folder, t = "/root/testdata/sf0.01", Tokenizer.from_file(bpe.default_file())
+    t.no_truncation()
+    t.no_padding()
+    want = Counter()
+    for r in load(spark, folder, "documents").collect():
+        ids = t.encode(r["text"] or "", add_special_tokens=False).ids
+        raw = b"".join(i.to_bytes(4, "little") for i in ids)
+        want[r["doc_id"], len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    assert Counter(tuple(r) for r in bpe.op9_bpe(spark, folder).collect()) == want
+
+
 def test_html(spark):
     p = spark.createDataFrame([(1, "u", "<article><p>x</p></article>", 0), (None, None, None, 0), (1, "u", "<article><p>x</p></article>", 0), (2, "u", "", 0)], "page_id long, url string, html string, text int")
     assert sorted(str(tuple(r)) for r in html_text.extract_text(p).collect()) == sorted(map(str, [(1, "u", "x", 1), (None, None, "", 0), (1, "u", "x", 1), (2, "u", "", 0)]))

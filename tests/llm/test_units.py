@@ -306,3 +306,28 @@ def test_common_prefix_and_masks():
     assert chat.common_prefix([u, a], [u, b]) == 1 and chat.common_prefix([u], [u, a]) == 1 and chat.common_prefix([], [u]) == 0
     text, spans = chat.render([u, b])
     assert [text[s:e] for s, e in spans] == ["yy<|im_end|>"]
+
+
+def test_shared_chunks_are_encoded_once():
+    passage = " ".join(f"word{k % 313} of{k}" for k in range(4000))
+    e = bpe.ChunkEncoder(bpe.default_file())
+    for k in range(30):
+        list(e.encode([f"Text number {k} begins here. {passage} And it ends, at {k}."]))
+    assert 1 - e.encoded / e.seen > 0.9
+    alone = bpe.ChunkEncoder(bpe.default_file())
+    texts = [" ".join(f"other{j}x{k}" for j in range(500)) for k in range(5)]
+    list(alone.encode(texts))
+    assert alone.encoded == alone.seen  # nothing but chunks is kept
+
+
+def test_batches_of_long_texts_equal_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "BATCH_CHARS", 5000)
+    monkeypatch.setattr(bpe, "CHUNKS", 50)
+    monkeypatch.setattr(bpe, "JOINS", 50)
+    file = bpe.default_file()
+    t, e = Tokenizer.from_file(file), bpe.ChunkEncoder(file)
+    texts = ["", "x" * 20_000, " ".join(f"Word{k % 701}, it's" for k in range(9000)), "a\n" * 7000, "<|endoftext|> " * 900, ""]
+    got = [np.frombuffer(x, "<u4").tolist() for part in bpe._parts(texts, 5000) for x in e.encode(part)]
+    assert got == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
