@@ -22,7 +22,7 @@ def supported(fn: str, kind: T.DataType) -> str | None:
     if fn not in FUNCTIONS:
         return f"aggregate {fn} has no summary by key"
     if fn in ("sum", "avg"):
-        if isinstance(kind, T.DecimalType) and kind.precision > 8:
+        if isinstance(kind, T.DecimalType) and kind.precision > 15:
             return "weighted sums of this decimal type may not fit 38 digits"
         if not isinstance(kind, (*_INTEGRAL, T.FloatType, T.DoubleType, T.DecimalType)):
             return f"{fn} of {kind.simpleString()}"
@@ -49,9 +49,11 @@ def weighted(value: Column, kind: T.DataType, weight: Column | None) -> Column:
         return value
     if isinstance(kind, _INTEGRAL):
         return value.cast("decimal(19,0)") * weight.cast("decimal(19,0)")
-    if isinstance(kind, T.DecimalType):
-        return value * weight.cast("decimal(20,0)")
-    return value * weight
+    if isinstance(kind, T.DecimalType):  # exact: the digits of both and one more are at most 38
+        digits = min(20, 37 - min(38, kind.precision + 10))
+        fits = F.when(weight < F.lit(f"1{'0' * digits}").cast("decimal(38,0)"), weight) if digits < 19 else weight
+        return value * (F.coalesce(fits, F.raise_error(F.lit("a join multiplies more rows than a decimal sum can count")).cast("bigint")) if digits < 19 else fits).cast(f"decimal({digits},0)")
+    return value.cast("double") * weight  # a FLOAT argument is summed as double, as in the direct plan
 
 
 def sum_type(kind: T.DataType) -> str:
@@ -103,12 +105,14 @@ def single_parts(fn: str, parts: dict[str, Column], kind: T.DataType | None, wei
     return out
 
 
-def finish(fn: str, parts: dict[str, Column], n: Column, grouped: bool) -> Column:
-    """The result of a function from its summed parts; counts of no rows are 0, all else of no rows is null."""
+def finish(fn: str, parts: dict[str, Column], n: Column, grouped: bool, kind: T.DataType | None = None) -> Column:
+    """The result of a function over an argument of a type from its summed parts; counts of no rows are 0, all else of no rows is null."""
     if fn == "count_star":
         return n if grouped else F.coalesce(n, F.lit(0).cast("bigint"))
     if fn == "count":
         return parts["c"] if grouped else F.coalesce(parts["c"], F.lit(0).cast("bigint"))
+    if fn == "avg" and isinstance(kind, T.DecimalType):
+        return F.try_divide(parts["s"], parts["c"].cast("decimal(20,0)")).cast(f"decimal({min(38, kind.precision + 4)},{min(38, kind.scale + 4)})")
     if fn == "avg":
         return F.try_divide(parts["s"].cast("double"), parts["c"].cast("double"))
     return parts["s"] if fn == "sum" else parts["m"]

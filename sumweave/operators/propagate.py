@@ -138,8 +138,8 @@ def aggregate_over_join(q: AggOverJoin, root: str | None = None, loose: frozense
     results = [F.col(s.column(g[0], g[1])).alias(g[2]) for g in q.groups]
     if groups and condensed and own <= set(groups):  # one row for each group already
         made = s.products(top, weights)
-        return df.select(*results, *(A.finish(a.fn, {p: made[s.part(a, p)] for p in A.PARTS[a.fn]}, made[f"_n_{top.name}"], True).alias(a.alias) for a in q.aggregates))
+        return df.select(*results, *(A.finish(a.fn, {p: made[s.part(a, p)] for p in A.PARTS[a.fn]}, made[f"_n_{top.name}"], True, s.kinds.get(a)).alias(a.alias) for a in q.aggregates))
     totals = s.totals(top, weights, condensed)
     out = df.groupBy(*groups).agg(*(x.alias(p) for p, x in totals.items())) if groups else df.agg(*(x.alias(p) for p, x in totals.items()))
-    results += [A.finish(a.fn, {p: F.col(s.part(a, p)) for p in A.PARTS[a.fn]}, n, bool(groups)).alias(a.alias) for a in q.aggregates]
+    results += [A.finish(a.fn, {p: F.col(s.part(a, p)) for p in A.PARTS[a.fn]}, n, bool(groups), s.kinds.get(a)).alias(a.alias) for a in q.aggregates]
     return out.select(*results)

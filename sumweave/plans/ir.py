@@ -51,6 +51,7 @@ class AggOverJoin:
     edges: list[Edge]
     groups: list[tuple[str, str, str]]  # relation, column, alias
     aggregates: list[Aggregate]
+    conditions: int = 0  # equalities as the query has them
 
 
 @dataclass
