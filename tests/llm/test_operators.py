@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -309,9 +310,51 @@ def test_lm_scores(spark, docs, odd, none, frequent, monkeypatch):
     assert lm.lm_scores(none).count() == 0
 
 
+def test_lm_scores_against_plain_version(spark, monkeypatch):
+    """score by definition from the same model: softmax over classes and over a class's units, word by word."""
+    monkeypatch.setattr(lm, "STEPS", 50)
+    monkeypatch.setattr(lm, "FREQUENT", 60)
+    monkeypatch.setattr(lm, "LEAST_UNITS", 30)
+    monkeypatch.setattr(lm, "UNITS_ROOT", 0.0)
+    made = {}
+    fit = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda cells, v: made.setdefault("m", (fit(cells, v), v))[0])
+    data = [(0, "a b c a b c A  b d"), (1, "b c d e f a " * 20), (3, None), (4, "ünder über é a b"), (5, " ".join(f"w{k % 90}x a" for k in range(400))), (7, "new unseen words a b"), (11, "w3x w3x zz zz zz")] * 2
+    found = {(r["doc_id"]): r["score"] for r in lm.lm_scores(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    model, v = made["m"]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    c = Counter(w for i, t in data if not held(i) for w in [*words(lower(t)), ""])
+    ranked = sorted((w for w in c if w), key=lambda w: (-c[w], w.encode()))[:30]
+    units = {"": 0} | {w: k + 1 + lm.RARES for k, w in enumerate(ranked)}
+    rare = lambda w: 1 + zlib.crc32(w.encode()[:2]) % lm.RARES
+    mass = Counter()
+    for w, n in c.items():
+        if w not in units:
+            mass[rare(w)] += n + 1
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for i, t in data:
+        line, total = [*words(lower(t)), ""], 0.0
+        u = [0, 0, *(units.get(w, rare(w)) for w in line)]
+        for k, w in enumerate(line):
+            q = model.context[u[k]] * model.position[0] + model.context[u[k + 1]] * model.position[1]
+            of, at = divmod(u[k + 2], model.size)
+            part = slice(of * model.size, (of + 1) * model.size)
+            p = softmax(model.classes @ q + model.class_bias)[of] * softmax(model.target[part] @ q + model.bias[part])[at]
+            total += math.log10(p) + (0 if w in units else math.log10((c[w] + 1) / (mass[rare(w)] + 1)))
+        assert found[i] == pytest.approx(total, rel=1e-4), t
+    assert len(v.counts) == 1 + lm.RARES + 30
+
+
+def test_what_the_language_model_learns_grows(spark):
+    small, large = (lm.Vocabulary({}, np.zeros(0, np.int32), np.zeros(0), n, 10, np.zeros(2), np.zeros(2)) for n in (10**8, 10**10))
+    assert large.drawn * large.total == pytest.approx(10 * small.drawn * small.total)
+    rows = spark.range(3_000_000).selectExpr("concat('w', id % 2000) AS word", "id % 7 + 1 AS c").groupBy("word").agg(F.sum("c").alias("c"))
+    assert len(lm.vocabulary(rows).counts) - 1 - lm.RARES == 2000
+
+
 def test_lm_beats_base_on_held_out(spark):
     r = lm.op3_lm_scores(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
-    assert r[0] > r[1]
+    assert r[0] > r[1] + 0.2
 
 
 def test_pii(odd, none):

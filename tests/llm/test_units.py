@@ -250,13 +250,28 @@ def test_toxicity_without_labels():
 
 
 def test_log_bilinear_is_normalised_and_learns():
-    r = np.random.default_rng(0)
-    cells = np.zeros(lm.UNITS**3)
-    u = r.integers(0, 5, 20_000)
-    np.add.at(cells, (u * lm.UNITS + u) * lm.UNITS + (u + 1) % 5, 1)
-    table = lm.fit(cells, steps=600).table()
-    assert np.allclose((10.0**table).sum(axis=1), 1, atol=1e-4)
-    assert all(10 ** table[(k * lm.UNITS + k), (k + 1) % 5] > 0.5 for k in range(5))
+    n = 40
+    u = np.random.default_rng(0).integers(0, 5, 40_000)
+    cells = np.stack([u, u, (u + 1) % 5], axis=1)
+    counts = np.bincount(cells[:, 2], minlength=n).astype(float)
+    m = lm.LogBilinear.new(counts)
+    for k in range(4):
+        m.learn(cells, counts, 0.2, k)
+    contexts = np.array([(a, b) for a in range(n) for b in range(n)])
+    every = np.repeat(contexts, n, axis=0)
+    p = 10.0 ** m.log_probabilities(every[:, 0], every[:, 1], np.tile(np.arange(n), len(contexts))).reshape(len(contexts), n)
+    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
+    assert all(p[k * n + k, (k + 1) % 5] > 0.5 for k in range(5))
+
+
+def test_noise_contrastive_slopes_are_right():
+    """One step of AdaGrad from rest moves every parameter against the sign of the loss's slope, found by differences."""
+    counts = np.array([50.0, 30, 20, 10, 5, 5, 3, 2, 1])
+    cells = np.array([[1, 2, 3]] * 200, np.uint32)
+    m = lm.LogBilinear.new(counts)
+    before = m.log_probabilities(np.array([1]), np.array([2]), np.array([3]))[0]
+    m.learn(cells, counts, 0.01, 0)
+    assert m.log_probabilities(np.array([1]), np.array([2]), np.array([3]))[0] > before
 
 
 def _good(model, votes):
