@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, let, load, save
+from .common import BLANKS, broadcast_if_small, let, load, save
 
 #: Licences as their publishers give them: short ones whole and by their parts, long ones by their titles and the notices that they ask for.
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
@@ -77,9 +77,9 @@ TEMPLATES = tuple((name, t) for name, texts in _TEXTS.items() for t in [*texts,
 THRESHOLD = 0.8
 #: Tokens of a line: letters and digits, with inner points and hyphens.
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
-#: Documents of one directory, by id, and the last line of one that states a licence.
+#: Documents of one directory, by id, and what the last line of one that states a licence has.
 SHARD = 100
-STATED = r"(?i)(?:^|\n)[^\n]*\b(?:licen[cs]ed under|released under|licen[cs]e)\b[^\n]*\s*\z"
+STATED = r"(?i)\b(?:licen[cs]ed under|released under|licen[cs]e)\b"
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
 
 
@@ -244,7 +244,7 @@ def document_files(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """documents as files: source / language / ids by the hundred / id. The table has no paths of its own, so a document that ends with a line
     which states a licence stands for the licence file of its directory, as LICENSE.id."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    name = F.when(F.coalesce("text", F.lit("")).rlike(STATED), F.concat(F.lit("LICENSE."), name)).otherwise(F.concat(name, F.lit(".txt")))
+    name = F.when(F.substring_index(F.rtrim(F.coalesce("text", F.lit("")), F.lit(BLANKS)), "\n", -1).rlike(STATED), F.concat(F.lit("LICENSE."), name)).otherwise(F.concat(name, F.lit(".txt")))
     part = F.coalesce(F.floor(F.col("doc_id") / shard).cast("string"), F.lit(""))
     return docs.select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), part, name).alias("path"), "text")
 
@@ -262,7 +262,7 @@ def sql(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
     known = ", ".join(f"({quote(t)}, {x!r}e0)" for t, x in idf.items())
     runs = " UNION ALL ".join(f"SELECT doc_id, path, dir, given, unnest(list_transform(range(1, len(l) - {n - 2}), lambda i: array_to_string(l[i:i + {n - 1}], ' '))) AS unit FROM l WHERE len(l) >= {n}" for n in range(1, LINES + 1))
     return rf"""
-WITH f AS (SELECT doc_id, coalesce(text, '') AS t, regexp_matches(coalesce(text, ''), '{STATED}') AS given,
+WITH f AS (SELECT doc_id, coalesce(text, '') AS t, regexp_matches(string_split(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+$', ''), chr(10))[-1], '{STATED}') AS given,
   concat(coalesce(source, ''), '/', coalesce(lang, ''), '/', doc_id // {SHARD}) AS dir FROM documents),
 p AS (SELECT doc_id, t, given, dir, concat(dir, '/', CASE WHEN given THEN 'LICENSE.' ELSE '' END, doc_id, CASE WHEN given THEN '' ELSE '.txt' END) AS path FROM f),
 l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[A-Za-z0-9]')) AS l FROM p),
