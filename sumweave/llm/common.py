@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,9 +68,11 @@ def let(value: Column, body) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where none is named, as in tests, a temporary one, but only if driver and executors are one machine."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     if named is None:
         named = tempfile.mkdtemp(prefix="checkpoint-")
     if context.getCheckpointDir() is None:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, load, save, slices, text_key
+from .common import broadcast_if_small, components, load, save, slices, text_key
 
 SHINGLE = 3
 SEED = 42
@@ -180,32 +180,41 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Equal fingerprints are one node; the trie self-join links nodes (`trie_links`) and components are found on the executors.
     component_id is the smallest doc_id reachable, the document's own included; null ids are passed over unless a component
-    has no other. Texts without words, null ones too, have fingerprint 0 and link like others. Repeated rows stay. An empty
-    table gives an empty result; further columns are ignored, whatever their names.
+    has no other. Texts without words, null ones too, have fingerprint 0 and link like others; very long texts are read whole; a bit
+    that is set in just half the shingles is 0. Repeated rows stay. An empty table gives an empty result; further columns are
+    ignored, whatever their names.
     """
     fp = save(fingerprints(docs, doc_id, text))
     nodes, member = _groups(fp, budget)
     least = member.groupBy("root").agg(F.min("least").alias("component"))
     linked = member.join(least, "root").select("fp", "component")
     alone = nodes.where("n > 1").join(member.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component"))
-    return fp.join(linked.unionByName(alone), "fp", "left").select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component_id"))
+    known = linked.unionByName(alone)
+    return fp.join(broadcast_if_small(save(known)), "fp", "left").select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of docs for each component: of those with the smallest id, null ids after all others, one.
 
-    Ids may repeat or be null: a row is known by its id and 128 bits of its text, and rows are in one group only if their fingerprints are.
+    Ids may repeat or be null: a row is known by its id and 128 bits of its text, and rows are in one group only if their fingerprints are. Only the keys of
+    rows that go, and of rows that occur several times, meet the table again, by broadcast if their bytes are few. Texts without words, null
+    ones too, have fingerprint 0 and are one group; very long texts are read whole; all columns stay as they are, whatever their names;
+    an empty table gives an empty result.
     """
     rows = docs.select(F.struct("doc_id", *text_key("text")).alias("id"), F.struct("*").alias("row"))  # the row's own names can't clash with others
     fp = save(fingerprints(rows.select("id", F.col("row.text").alias("text")), "id"))
     _, member = _groups(fp, BUDGET)
     same = fp.groupBy("fp", "doc_id").agg(F.count(F.lit(1)).alias("times")).join(member.select("fp", "root"), "fp", "left")
-    order = F.struct(F.col("doc_id.doc_id").isNull().alias("no_id"), "doc_id", "times")
-    first = save(same.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(order).alias("f")).select(F.col("f.doc_id").alias("first"), "f.times"))
-    kept = rows.join(first, F.expr("id <=> first"))
-    if not first.where("times > 1").limit(1).count():
+    same = save(same.select(F.coalesce("root", "fp").alias("root"), F.col("doc_id").alias("key"), "times"))
+    order = F.struct(F.col("key.doc_id").isNull().alias("no_id"), F.col("key"))
+    first = same.groupBy("root").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("root").alias("of"), F.col("f.key").alias("first"))
+    gone = save(same.join(first, F.expr("root = of and not (key <=> first)")).select("key"))
+    often = save(same.where("times > 1").join(gone.withColumnRenamed("key", "_gone"), F.expr("key <=> _gone"), "left_anti").select("key"))
+    kept = rows.join(broadcast_if_small(gone), F.expr("id <=> key"), "left_anti")
+    if not often.limit(1).count():
         return kept.select("row.*")
-    once, more = kept.where("times = 1"), kept.where("times > 1")
+    once = kept.join(broadcast_if_small(often), F.expr("id <=> key"), "left_anti")
+    more = kept.join(broadcast_if_small(often), F.expr("id <=> key"), "left_semi")
     return once.select("row.*").unionByName(more.groupBy("id").agg(F.min("row").alias("row")).select("row.*"))
 
 

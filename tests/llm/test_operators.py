@@ -484,7 +484,73 @@ def test_pipeline_stages_keep_columns(spark, odd, none):
             assert stage(spark, table, FOLDER).columns == table.columns
 
 
-def test_every_query_runs(spark):
-    for n in range(1, 11):
-        names = [k for k in QUERIES if k.startswith(f"op{n}_")]
-        assert len(names) == 1
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_every_query_runs(spark, name):
+    """Each registered query over a whole small folder: a row for each row of its table (or pairs), and no temporary column left."""
+    df = QUERIES[name](spark, FOLDER)
+    rows = df.collect()
+    table = {"op5_html_text": "pages"}.get(name, "documents")
+    if name == "op10_chat":
+        assert len(rows) <= load(spark, FOLDER, "conversations").select("conv_id").distinct().count()
+    elif name == "op6_decontaminate":
+        assert rows and {r["doc_id"] for r in rows} <= {r["doc_id"] for r in load(spark, FOLDER, "documents").collect()}
+    else:
+        key = "page_id" if table == "pages" else "doc_id"
+        assert Counter(r[key] for r in rows) == Counter(r[key] for r in load(spark, FOLDER, table).collect())
+    assert not [c for c in df.columns if c.startswith("_")]
+    assert sorted(n.split("_")[0] for n in QUERIES) == sorted(f"op{k}" for k in range(1, 11))
+
+
+def test_pipeline_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    """A stage that fails leaves the ones before it finished; the next run starts there and gives the same rows."""
+    want = sorted(map(tuple, corpus_pipeline.run(spark, FOLDER).collect()))
+    calls = []
+
+    def watched(name, stage, fails):
+        def run(*a):
+            calls.append(name)
+            if fails:
+                raise RuntimeError("lost")
+            return stage(*a)
+
+        return name, run
+
+    stages = corpus_pipeline.STAGES
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [watched(n, f, n == "personal_data") for n, f in stages])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, FOLDER, str(tmp_path / "p"))
+    assert calls == ["quality", "near_duplicates", "decontamination", "personal_data"]
+    calls.clear()
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [watched(n, f, False) for n, f in stages])
+    assert sorted(map(tuple, corpus_pipeline.run(spark, FOLDER, str(tmp_path / "p")).collect())) == want
+    assert calls == ["personal_data", "tokens"]
+    assert sorted(x.name for x in (tmp_path / "p").iterdir()) == ["personal_data"]
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from sumweave.llm.common import shared_folder
+
+    made = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda _: None))
+    assert shared_folder(made("local[4]")) and shared_folder(made("local"))
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1000]", "k8s://x"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_folder(made(master))
+
+
+def test_pipeline_contents_of_odd_rows(spark, odd):
+    """What each stage keeps and writes, not only its columns."""
+    fixed = [c for c in odd.columns if c not in ("text", "n_chars")]
+    first = corpus_pipeline.quality_rules(spark, odd, FOLDER)
+    kept = sorted((str(r["doc_id"]) for r in first.collect()))
+    assert kept == sorted(["1", "2", "2", "None"])  # the long text repeats itself
+    second = corpus_pipeline.near_duplicates(spark, first, FOLDER)
+    assert [r["doc_id"] for r in second.collect()] == [1]
+    third = corpus_pipeline.decontamination(spark, odd, FOLDER)
+    assert sorted(map(str, third.collect())) == sorted(map(str, odd.collect()))
+    fourth = corpus_pipeline.personal_data(spark, odd, FOLDER)
+    assert sorted(map(str, fourth.select(fixed).collect())) == sorted(map(str, odd.select(fixed).collect()))
+    assert {r["text"] for r in fourth.where("doc_id = 7").collect()} == {"mail <EMAIL> <IP>"}
+    last = corpus_pipeline.tokens(spark, odd, FOLDER).collect()
+    assert Counter(r["doc_id"] for r in last) == Counter(r["doc_id"] for r in odd.collect()) and all(r["n_tokens"] == 0 for r in last if r["doc_id"] in (3, 4, 5))

@@ -323,6 +323,23 @@ def test_common_prefix_and_masks():
     assert [text[s:e] for s, e in spans] == ["yy<|im_end|>"]
 
 
+def test_lower_case_without_the_normalizer_equals_the_library():
+    """Every character below U+0240 and beyond, alone, in words, after others, and as white space."""
+    from tokenizers import Tokenizer
+
+    file = bpe.default_file()
+    t, e = Tokenizer.from_file(file), bpe.ChunkEncoder(file)
+    assert e.plain is not None
+    texts = [x for c in range(1, 0x400) for x in (chr(c), f"a{chr(c)}b", f"{chr(c)}{chr(c)} It{chr(c)}", f"x {chr(c)} 1{chr(c)}'S")]
+    texts += ["<|ENDOFTEXT|>", "a<|EndOfText|>b", "<|endoftext|>É", "e\u0301 É", "ΑΣ Σ", "İI ı", "ǅ ǆ Ȿ"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e._library(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    words = [x for x in texts if "<" not in x]
+    assert list(e._short(words)) == e._library(words)
+    import public_tokenizers
+
+    assert bpe.ChunkEncoder(str(public_tokenizers.path("byte_bpe_50k.json"))).plain is None
+
+
 def test_shared_chunks_are_encoded_once():
     passage = " ".join(f"word{k % 313} of{k}" for k in range(4000))
     e = bpe.ChunkEncoder(bpe.default_file())
