@@ -8,6 +8,7 @@ import os
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,9 @@ CHUNKS, JOINS, BATCH_CHARS = 40_000, 100_000, 3_000_000
 #: Chunks, or short texts with marks between them, that go through the library in one call.
 TOGETHER = 1000
 _MULTIPLIER = 0x9E3779B97F4A7C15
+#: Fixed value: a pattern of pieces, none of which has white space in it. Bytes of UTF-8 that characters below U+0240 are made of.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BELOW = bytes(range(0xC9))
 
 
 def cuts(data: bytes) -> list[int]:
@@ -31,14 +35,21 @@ def cuts(data: bytes) -> list[int]:
     The hash of the WINDOW bytes up to a blank decides, so equal passages are cut alike wherever they stand. All hashes are
     computed at once by a rolling polynomial over the bytes.
     """
+    return [x for x, _ in _all_cuts(data, [0, len(data)])]
+
+
+def _all_cuts(data: bytes, edges: list[int]) -> list[tuple[int, int]]:
+    """(position, text) of all cuts of texts that stand one after the other in data, between edges."""
     b = np.frombuffer(data, np.uint8)
-    if len(b) <= WINDOW:
-        return []
-    at = np.flatnonzero((b[WINDOW:] == 32) | (b[WINDOW:] == 10)) + WINDOW
+    at = np.flatnonzero((b == 32) | (b == 10))
+    text = np.searchsorted(edges, at, side="right") - 1
+    inside = at - np.asarray(edges)[text] >= WINDOW
+    at, text = at[inside], text[inside]
     h = np.zeros(len(at), np.uint64)
     for k in range(WINDOW, 0, -1):
         h = h * np.uint64(_MULTIPLIER) + b[at - k] + np.uint64(1)
-    return at[(h >> np.uint64(40)) % np.uint64(EVERY) == 0].tolist()
+    cut = (h >> np.uint64(40)) % np.uint64(EVERY) == 0
+    return list(zip(at[cut].tolist(), text[cut].tolist(), strict=True))
 
 
 class _Cache(dict):
@@ -69,11 +80,47 @@ class ChunkEncoder:
         self.seen = self.encoded = 0  # bytes of all chunks, and of those that the library encoded
         self.mark = self._special()
         spec = json.loads(self.t.to_str())
+        self.added = [x.content.lower() for x in self.t.get_added_tokens_decoder().values()]
+        self.plain = self._without_normalizer(spec)
         # without a decoder the library joins the tokens by spaces
         self.tokens = None if spec.get("decoder") else {i: w for w, i in self.t.get_vocab(with_added_tokens=True).items()}
 
+    def _without_normalizer(self, spec: dict):
+        """The same tokenizer without its normalizer, for texts that are lower-cased here: None unless the file says that these are equal.
+
+        They are where the normalizer does nothing but compose (NFC), replace white space by a space and lower-case, pieces never hold white space, and
+        added tokens are found before it: below U+0240 no character composes, and lower case is that of each character alone.
+        """
+        from tokenizers import Tokenizer
+
+        normal, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+        steps = normal.get("normalizers", [normal])
+        first = pre.get("pretokenizers", [pre])[0]
+        known = all(x.get("type") in ("NFC", "Lowercase") or x == {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "} for x in steps)
+        drops = first == {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True}
+        if not known or not drops or not any(x["type"] == "Lowercase" for x in steps) or any(x["normalized"] for x in spec["added_tokens"]):
+            return None
+        t = Tokenizer.from_str(json.dumps({**spec, "normalizer": None, "truncation": None, "padding": None}))
+        return t
+
+    @staticmethod
+    def _lower(text: str) -> str | None:
+        """A text in lower case, if all its characters are below U+0240."""
+        return text.lower() if text.isascii() or not text.encode("utf-8", "surrogatepass").translate(None, BELOW) else None
+
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = [b""] * len(texts)
+        whole = list(range(len(texts)))
+        if self.plain:
+            low = [self._lower(t) for t in texts]
+            some = [k for k, t in enumerate(low) if t is not None and not any(a in t for a in self.added)]
+            for k, e in zip(some, self.plain.encode_batch_fast([low[k] for k in some], add_special_tokens=False), strict=True):
+                out[k] = array("I", e.ids).tobytes()
+            some = set(some)
+            whole = [k for k in whole if k not in some]
+        for k, e in zip(whole, self.t.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True):
+            out[k] = array("I", e.ids).tobytes()
+        return out
 
     def _short(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each of many short texts. The library splits at special tokens before all else, so texts with one between them are
@@ -84,7 +131,10 @@ class ChunkEncoder:
             if not mark or any("<" in t for t in part):
                 yield from self._library(part)
                 continue
-            ids = self._library([mark.join(part)])[0]
+            joined = mark.join(part)
+            low = self._lower(joined) if self.plain and mark.islower() else None
+            t, joined = (self.t, joined) if low is None else (self.plain, low)
+            ids = array("I", t.encode_batch_fast([joined], add_special_tokens=False)[0].ids).tobytes()
             at = [-4, *(4 * np.flatnonzero(np.frombuffer(ids, "<u4") == end)).tolist(), len(ids)]
             yield from (ids[x + 4 : y] for x, y in zip(at, at[1:], strict=False))
 
@@ -123,11 +173,16 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers. Holds all their chunks: give about BATCH_CHARS characters at once."""
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        data = b"".join(raw)
+        edges = [0, *accumulate(map(len, raw))]
+        marks: list[list[int]] = [[x] for x in edges[:-1]]
+        for at, k in _all_cuts(data, edges):
+            marks[k].append(at)
         cut = []
-        for t in texts:
-            data = t.encode("utf-8", "surrogatepass")
-            edges = [0, *cuts(data), len(data)]
-            cut.append([data[x:y].decode("utf-8", "surrogatepass") for x, y in zip(edges, edges[1:], strict=False)])
+        for m, end in zip(marks, edges[1:], strict=True):
+            m.append(end)
+            cut.append([data[x:y].decode("utf-8", "surrogatepass") for x, y in zip(m, m[1:], strict=False)])
         self.chunks.trim(CHUNKS)
         self.joins.trim(JOINS)
         self.seen += sum(len(c) for t in cut for c in t)
