@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ class _Summary:
     def __init__(self, q: AggOverJoin, loose: frozenset[str] = frozenset()):
         self.q = q
         self.loose = loose
+        self.inside: dict[str, list[Node]] = {}
         self.kinds = {}
         for a in q.aggregates:
             if a.relation is not None:
@@ -35,7 +38,38 @@ class _Summary:
         name, r = node.name, self.q.relations[node.name]
         edges = [c.up for c in node.children] + ([node.up] if node.up else [])
         wanted = [*(c for e in edges for c in e.end(name)), *(g[1] for g in self.q.groups if g[0] == name), *(a.column for a in self.q.aggregates if a.relation == name)]
-        return r.df.select(*(F.col(f"`{c}`").alias(self.column(name, c)) for c in dict.fromkeys(wanted)))
+        columns = [F.col(f"`{c}`").alias(self.column(name, c)) for c in dict.fromkeys(wanted)]
+        for c in self.absorbed(node):
+            its = dict.fromkeys(a.column for a in self.q.aggregates if a.relation == c.name)
+            columns += [F.col(f"`{self.q.twins[name, c.name][x]}`").alias(self.column(c.name, x)) for x in its]
+        return r.df.select(*columns)
+
+    def absorbed(self, node: Node) -> list[Node]:
+        """Children that are the node's own rows again, joined by all that it is condensed by: their summaries are its own, without a second scan or a join."""
+        if node.name not in self.inside:
+            q, by = self.q, set(kept_columns(self.q, node))
+            self.inside[node.name] = []
+            if not self.plain(node):
+                for c in node.children:
+                    its = q.twins.get((node.name, c.name))
+                    if its is None or c.children or any(g[0] == c.name for g in q.groups) or set(c.up.end(node.name)) != by:
+                        continue
+                    if all(self.equal(node.name, x, its[y]) for x, y in zip(c.up.end(node.name), c.up.end(c.name), strict=True)):
+                        self.inside[node.name].append(c)
+        return self.inside[node.name]
+
+    def equal(self, relation: str, x: str, y: str) -> bool:
+        """Whether two columns of a relation are one expression."""
+        df = self.q.relations[relation].df
+        if x == y:
+            return True
+        one, other = (df.select(F.col(f"`{c}`").alias("c"))._jdf.queryExecution().optimizedPlan() for c in (x, y))
+        return one.sameResult(other)
+
+    def plain(self, node: Node) -> bool:
+        """Whether a relation goes into the join as it is."""
+        by = [self.column(node.name, c) for c in kept_columns(self.q, node)]
+        return self.is_unique(node, by) or bool(node.children) and node.name in self.loose
 
     def keys(self, node: Node) -> list[str]:
         return [self.column(node.name, c) for c in node.up.end(node.name)] if node.up else []
@@ -59,10 +93,13 @@ class _Summary:
         """The relation, one row for each combination of its join keys and groups; its own multiplicity (None: 1)."""
         rows = self.rows(node)
         by = [self.column(node.name, c) for c in kept_columns(self.q, node)]
-        own = [a for a in self.q.aggregates if a.relation == node.name]
-        if self.is_unique(node, by) or node.children and node.name in self.loose:
+        if self.plain(node):
             return rows, None
-        parts = {self.part(a, p): x for a in own for p, x in A.own_parts(a.fn, F.col(self.column(node.name, a.column)), self.kinds[a], None).items()}
+        same = [c.name for c in self.absorbed(node)]
+        for x in by if same else []:
+            rows = rows.where(F.col(x).isNotNull())  # the join has no others
+        own = [a for a in self.q.aggregates if a.relation in (node.name, *same)]
+        parts = {self.part(a, p): x for a in own for p, x in A.own_parts(a.fn, F.col(self.column(a.relation, a.column)), self.kinds[a], None).items()}
         n = f"_n_{node.name}"
         out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias(n), *(x.alias(p) for p, x in parts.items()))
         return out, F.col(n)
@@ -71,7 +108,11 @@ class _Summary:
         """A relation with the messages of its children; multiplicities by sender; whether its own rows are condensed."""
         df, own = self.condensed(node)
         weights = {} if own is None else {node.name: own}
+        same = self.absorbed(node)
         for c in node.children:
+            if c in same:
+                weights[c.name] = own
+                continue
             message = self.message(c)
             on = [F.col(a) == F.col(b) for a, b in zip((self.column(node.name, x) for x in c.up.end(node.name)), self.keys(c), strict=True)]
             condition = on[0]
@@ -131,6 +172,10 @@ def aggregate_over_join(q: AggOverJoin, root: str | None = None, loose: frozense
     repeat; unless they are leaves they go into the join as they are.
     """
     top = tree(q, root)
+    if not q.twins:  # relations given as one DataFrame
+        names = list(q.relations)
+        pairs = [(a, b) for a in names for b in names if a != b and q.relations[a].df is q.relations[b].df]
+        q = replace(q, twins={(a, b): {c: c for c in q.relations[b].df.columns} for a, b in pairs})
     s = _Summary(q, loose)
     df, weights, condensed = s.joined(top)
     groups = list(dict.fromkeys(s.column(g[0], g[1]) for g in q.groups))

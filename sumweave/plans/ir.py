@@ -52,6 +52,8 @@ class AggOverJoin:
     groups: list[tuple[str, str, str]]  # relation, column, alias
     aggregates: list[Aggregate]
     conditions: int = 0  # equalities as the query has them
+    #: For relations of the same rows: (one, other) to the columns of one's df under which it has those of the other.
+    twins: dict[tuple[str, str], dict[str, str]] = field(default_factory=dict)
 
 
 @dataclass

@@ -145,3 +145,50 @@ def test_other_joins_below_are_relations(spark):
         e = Engine(spark, "always")
         got = sorted(map(tuple, e.sql(text).collect()))
         assert e.decisions[0].rewritten and got == sorted(map(tuple, spark.sql(text).collect()))
+
+
+SELF_JOINS = [
+    "SELECT a.k, sum(a.v) AS s, sum(b.v) AS r, count(*) AS n, min(b.g) AS m FROM {0} a JOIN {0} b ON a.k = b.k GROUP BY a.k",
+    "SELECT sum(a.v) AS s, avg(b.v) AS r, count(*) AS n FROM {0} a JOIN {0} b ON a.k = b.k",
+    "SELECT b.k, b.g, sum(a.v) AS s, count(*) AS n FROM {0} a JOIN {0} b ON a.k = b.k AND a.g = b.g GROUP BY b.k, b.g",
+    "SELECT a.k, sum(c.v) AS s, count(b.v) AS c, count(*) AS n FROM {0} a JOIN {0} b ON a.k = b.k JOIN {0} c ON a.k = c.k GROUP BY a.k",
+    "SELECT a.k % 3 AS x, sum(b.v) AS s FROM {0} a JOIN {0} b ON a.k % 3 = b.k % 3 GROUP BY a.k % 3",
+]
+
+
+@pytest.mark.parametrize("text", SELF_JOINS)
+@pytest.mark.parametrize("rows", ["twice", "(SELECT * FROM twice WHERE v > 3 OR v IS NULL)"])
+def test_self_joins_on_equal_keys_read_their_rows_once(spark, tmp_path, text, rows):
+    made = [(None if k % 11 == 0 else k % 7, None if k % 5 == 0 else f"g{k % 3}", None if k % 13 == 0 else float(k)) for k in range(300)]
+    spark.createDataFrame(made, "k int, g string, v double").write.parquet(f"{tmp_path}/twice")
+    spark.read.parquet(f"{tmp_path}/twice").createOrReplaceTempView("twice")
+    text = text.format(rows)
+    e = Engine(spark, "always")
+    got, want = e.sql(text), spark.sql(text)
+    assert got.schema.simpleString() == want.schema.simpleString() and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") + plan.count("parquet") > 0 and "Join" not in plan
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT a.k, sum(b.v) AS s FROM twice a JOIN twice b ON a.k = b.j GROUP BY a.k",  # other columns
+        "SELECT a.j, sum(b.v) AS s FROM twice a JOIN twice b ON a.k = b.k GROUP BY a.j",  # other groups
+        "SELECT a.k, sum(b.v) AS s FROM twice a JOIN (SELECT * FROM twice WHERE j > 2) b ON a.k = b.k GROUP BY a.k",  # other rows
+        "SELECT a.k, sum(c.v) AS s, count(*) AS n FROM twice a JOIN twice b ON a.k = b.k JOIN twice c ON b.j = c.j GROUP BY a.k",
+    ],
+)
+def test_other_self_joins_are_joined(spark, text):
+    spark.createDataFrame([(k % 4, k % 5, float(k)) for k in range(60)], "k int, j int, v double").createOrReplaceTempView("twice")
+    e = Engine(spark, "always")
+    got, want = e.sql(text), spark.sql(text)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and e.decisions[0].rewritten
+    assert "Join" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_one_dataframe_given_twice(spark):
+    a = spark.createDataFrame([(k % 4, float(k)) for k in range(40)] + [(None, 1.0)], "k int, v double")
+    df = agg_over_join({"a": a, "b": a}, [("a.k", "b.k")], ["a.k"], {"n": ("count", None), "s": ("sum", "b.v"), "t": ("sum", "a.v")})
+    assert sorted(map(tuple, df.collect())) == [(k, 100, 10 * sum(range(k, 40, 4)), 10 * sum(range(k, 40, 4))) for k in range(4)]
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()

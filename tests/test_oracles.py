@@ -52,4 +52,4 @@ def test_rewritten_with_same_schema(spark, name):
     direct = spark.sql(SQL[name])
     assert df.schema.simpleString() == direct.schema.simpleString()
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.rindex("Aggregate") > plan.index("Join"), "an aggregate below the join"
+    assert "Join" not in plan if name == "mixed_composite" else plan.rindex("Aggregate") > plan.index("Join"), "an aggregate below the join, or no join of equal rows"
