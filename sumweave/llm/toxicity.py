@@ -17,6 +17,7 @@ from .common import bucket_of, load, slices
 #: Words in a window and from one window to the next; the last words of a window are the first of the next.
 WINDOW, STEP = 48, 36
 HIDDEN, EMBED = 8, 12
+#: Words with a vector of their own, the commonest of the sample: a bound on the model, as every other word is still read by its n-grams; slots of these.
 VOCABULARY, NGRAMS = 20_000, 1 << 15
 #: Labelled documents from which the network learns, at most; half of each label where there are enough.
 SAMPLE = 4000
@@ -244,7 +245,7 @@ class Scorer:
         return 1 / (1 + np.exp(-(self.net.slope * self.raw(texts) + self.net.shift)))
 
 
-def train(texts: list[str], labels: list[int], odds: float | None = None, epochs: int = 10, seed: int = 7) -> Network:
+def train(texts: list[str], labels: list[int], odds: float | None = None, epochs: int = 16, seed: int = 7) -> Network:
     """A network that learns from labelled texts. odds: of label 1 in the population, for the score.
 
     A label holds for a text, not for each window: after two epochs over random windows each text is learnt by its highest window (and
@@ -349,7 +350,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Toxicity of every document: doc_id, held_out, score, predicted, n_windows.
 
     Every text is read whole, in overlapping windows, long words in overlapping pieces; the network sees the words and their characters, nothing else. The score is the
-    calibrated logit of the highest window. held_out: crc32 of the id as text modulo 5 is 0; only other rows' labels are learnt, from
+    calibrated logit of the highest window, of equal ones any. held_out: crc32 of the id as text modulo 5 is 0; only other rows' labels are learnt, from
     a bounded sample (`learn`). Null texts count as empty, and empty texts get the score of an empty window; repeated rows stay; a
     null id counts as the empty text in crc32; without usable labels all scores are near 0; an empty table gives an empty
     result; further columns are ignored, whatever their names.

@@ -451,7 +451,7 @@ def test_toxicity_held_out(spark):
     r = toxicity.toxicity(d.join(y.select("doc_id"), "doc_id", "left_semi"), y).where("held_out").join(y, "doc_id").collect()
     good = sum(x["predicted"] == x["toxic"] for x in r) / len(r)
     found = sum(x["predicted"] for x in r if x["toxic"]) / sum(x["toxic"] for x in r)
-    assert good > 0.95 and found > 0.7
+    assert good > 0.95 and found > 0.78
 
 
 def test_pipeline(spark, docs):
