@@ -15,12 +15,14 @@ from sumweave.llm.simhash import keep_first
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and their EM posterior keep. Null and blank texts go; repeated rows go or stay together; no rows give none; extra columns stay."""
+    """Documents that the rules and their EM posterior keep. Null and blank texts go; repeated rows go or stay together; no rows give none; extra
+    columns stay."""
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest id, null ids last; one of repeated rows. All texts without words are one component; no rows
+    """One document of each SimHash component: the one with the smallest id, null ids last; one of repeated rows. All texts without words are one
+    component; no rows
     give none; extra columns stay. Fingerprints and links are those of the operator: shingles of three words, at most three bits."""
     return keep_first(docs)
 
