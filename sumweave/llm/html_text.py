@@ -46,7 +46,8 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 
 
 class Tree:
-    """Elements of a page in document order; text belongs to the element that holds it. against: up to which share of the chosen text a part goes for its name."""
+    """Elements of a page in document order; text belongs to the element that holds it. against: up to which share of the chosen text a part goes for
+    its name."""
 
     def __init__(self, page: str):
         self.tag, self.parent, self.silent, self.against = ["#root"], [-1], [False], [0.0]
@@ -179,7 +180,8 @@ class Densities:
         return out
 
     def choose(self, declared: bool = True) -> int:
-        """The element with the largest density sum; the first of equal ones. With `declared`, the page's only article (or else only main) is taken instead where
+        """The element with the largest density sum; the first of equal ones. With `declared`, the page's only article (or else only main) is taken
+        instead where
         that element lies around it or has little more."""
         t = self.t
         best = max(range(len(t.tag)), key=lambda k: (self.sum[k], -k))
@@ -197,8 +199,10 @@ class Densities:
     def keep(self, best: int) -> list[bool]:
         """Which elements' text belongs to the main text, given the chosen element.
 
-        The smallest density on its path to the body is the threshold. Neighbours of the path join if they reach it, aren't mostly links and don't go by their name:
-        paragraphs and the like, parts that have a good share of the chosen density sum, and headings before the path. Inside, parts go that are called something
+        The smallest density on its path to the body is the threshold. Neighbours of the path join if they reach it, aren't mostly links and don't go
+        by their name:
+        paragraphs and the like, parts that have a good share of the chosen density sum, and headings before the path. Inside, parts go that are
+        called something
         else and are mostly links or short beside the whole.
         """
         t, n = self.t, len(self.t.tag)
@@ -227,7 +231,8 @@ class Densities:
 def main_text(page: str | None) -> str:
     """The text of the main part of a page, one line for each block; empty if there is none.
 
-    Composite text density chooses the subtree (`Densities.choose`) and what belongs to it (`Densities.keep`). Of equal sums the first element in the page is taken.
+    Composite text density chooses the subtree (`Densities.choose`) and what belongs to it (`Densities.keep`). Of equal sums the first element in the
+    page is taken.
     """
     d = Densities(Tree(page or ""))
     if not d.chars[0]:

@@ -254,7 +254,8 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same for DuckDB over documents, without the pre-selection of text; document_files gives three levels of directories, of which the last holds all files."""
+    """The same for DuckDB over documents, without the pre-selection of text; document_files gives three levels of directories, of which the last
+    holds all files."""
     vectors, idf = template_weights(templates)
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     weights = ", ".join(f"({quote(t)}, {k}, {x!r}e0)" for k, (_, v) in enumerate(vectors) for t, x in v.items())

@@ -349,7 +349,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Toxicity of every document: doc_id, held_out, score, predicted, n_windows.
 
-    Every text is read whole, in overlapping windows, long words in overlapping pieces; the network sees the words and their characters, nothing else. The score is the
+    Every text is read whole, in overlapping windows, long words in overlapping pieces; the network sees the words and their characters, nothing
+    else. The score is the
     calibrated logit of the highest window, of equal ones any. held_out: crc32 of the id as text modulo 5 is 0; only other rows' labels are learnt, from
     a bounded sample (`learn`). Null texts count as empty, and empty texts get the score of an empty window; repeated rows stay; a
     null id counts as the empty text in crc32; without usable labels all scores are near 0; an empty table gives an empty
