@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, slices
+from .common import give_back, load, slices
 
 #: Bytes that the rolling hash sees, and one in how many spaces ends a chunk on average.
 WINDOW, EVERY = 8, 64
@@ -207,7 +207,7 @@ class ChunkEncoder:
 
 @lru_cache(maxsize=2)
 def encoder(file: str) -> ChunkEncoder:
-    """One for each worker and file; its caches live from task to task."""
+    """One for each worker and file; its caches are emptied at the end of each partition."""
     return ChunkEncoder(file)
 
 
@@ -229,8 +229,8 @@ def bpe_round_trip(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str
     Returns for each row doc_id, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers), decoded_sha256 (of the decoded
     text) and, with outputs, ids and decoded themselves. Null texts count as empty and have no ids; special tokens' strings in a
     text become their ids, as in the library; very long texts are encoded whole; a null id stays null; repeated rows stay; an empty
-    table gives an empty result; further columns are ignored, whatever their names. Each worker has the library encode a chunk once
-    while its bounded cache holds it, for all texts of its partitions.
+    table gives an empty result; further columns are ignored, whatever their names. For each partition the library encodes a chunk once
+    while a bounded cache holds it, whichever texts share it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,6 +250,9 @@ def bpe_round_trip(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str
                     columns |= {"ids": pa.array([np.frombuffer(x, "<u4") for x in ids], pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())}
                 row += len(part)
                 yield pa.RecordBatch.from_pydict(columns)
+        e.chunks.clear()
+        e.joins.clear()
+        give_back()
 
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()

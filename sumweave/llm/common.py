@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
@@ -57,6 +59,14 @@ def slices(column, rows: int = ROWS):
         yield column.slice(k, rows).to_pylist()
 
 
+def give_back() -> None:
+    """Returns freed memory of a worker that lives on to the system: idle workers stand beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_key(text: str) -> list[Column]:
     """128 bits x, y that stand for a text, null ones too, where rows cannot be told apart by their ids."""
     return [F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), text).alias("y")]
@@ -68,7 +78,8 @@ def let(value: Column, body) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Where none is named, as in tests, a temporary one, but only if driver and executors are one machine."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where none is named, as in tests, a temporary one, but only if driver and executors
+    are one machine."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):

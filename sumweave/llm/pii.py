@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROWS, load, slices
+from .common import ROWS, give_back, load, slices
 
 #: Kinds with an exact pattern, and a further one that only the field finds.
 KINDS = ("email", "ip", "card", "phone")
@@ -511,6 +511,8 @@ def redact(docs: DataFrame, text: str = "text", length: str = "n_chars", table:
                     n = names.index(length)
                     columns[n] = pa.array([old if t is None else len(t) for t, old in zip(new, columns[n].to_pylist(), strict=True)], b.schema.field(n).type)
                 yield pa.RecordBatch.from_arrays(columns, names)
+        field._forget()
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -180,10 +180,10 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs, all columns, that quality_rules keeps.
 
-    One pass counts vote patterns; a second one measures again and lets the good rows through, so no text is written or shuffled. Null and
+    The row travels beside its votes through one saved table, so that measures are computed once, no join is needed and the second plan is small. Null and
     blank texts go; repeated rows go or stay together; columns of any name stay as they are; an empty table gives an empty result.
     """
-    q = _judged(docs.select(F.struct("*").alias("_row"), F.col(text).alias("text")), "_row")
+    q = save(_judged(docs.select(F.struct("*").alias("_row"), F.col(text).alias("text")), "_row"))
     return _with_verdict(q, learn(q)).where("kept").select("_row.*")
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, components, load, save, slices, text_key
+from .common import broadcast_if_small, components, give_back, load, save, slices, text_key
 
 SHINGLE = 3
 SEED = 42
@@ -46,6 +46,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         for b in batches:
             fps = pa.array([fingerprint(t) for part in slices(b.column(1)) for t in part], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), fps], ["doc_id", "fp"])
+        give_back()
 
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fp long")
