@@ -10,10 +10,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, load, save, slices
+from .common import ROWS, bucket_of, load, save, slices
 
 #: Units of the neural model: the end of a text; RARES for words that have none of their own, told apart by how they begin; and the commonest words:
 #: UNITS_ROOT times the square root of the training tokens, LEAST_UNITS at least, MOST_UNITS at most (a worker holds their vectors).
@@ -24,9 +25,14 @@ FREQUENT = 100_000
 FLUSH = 150_000
 #: Width of the vectors; noise classes for a minibatch and noise words for a token; tokens of a minibatch.
 WIDTH, NOISE, WORD_NOISE, MINIBATCH = 16, 32, 4, 1024
-#: Tokens that are learnt: DRAWN_ROOT times the square root of all, drawn evenly from all training texts, STEPS minibatches at least (in several passes if
-#: there are fewer tokens). They are learnt by TASKS tasks at a time, whose models are averaged ROUNDS times.
-STEPS, DRAWN_ROOT, TASKS, ROUNDS = 2000, 1000.0, 8, 2
+#: Every training text is learnt in the last of ROUNDS rounds. The first begins with a share of the texts: DRAWN_ROOT times the square root of all tokens,
+#: STEPS minibatches at least (in several passes if there are fewer tokens).
+STEPS, DRAWN_ROOT, ROUNDS = 2000, 1000.0, 2
+#: A round's tasks, whose models are averaged: TASKS, or more if each would otherwise learn over TASK_TOKENS tokens. Minibatches whose tokens are shuffled
+#: together; pieces of the models that are averaged separately.
+TASKS, TASK_TOKENS, SHUFFLED, PIECES = 8, 1 << 24, 256, 16
+#: Tokens whose probabilities a worker works out at once, and contexts whose exponentials it adds up at once.
+SCORED, SUMMED = 1 << 18, 2048
 COLD = pa.map_(pa.string(), pa.int64())
 END = ""  # stands for the end of a text among words, none of which is empty
 
@@ -79,7 +85,7 @@ class Vocabulary:
 
     @property
     def drawn(self) -> float:
-        """Share of the training tokens that the neural model learns from."""
+        """Share of the training tokens that the first round of learning takes."""
         return min(1.0, max(STEPS * MINIBATCH, DRAWN_ROOT * math.sqrt(self.total)) / max(1, self.total))
 
 
@@ -152,30 +158,63 @@ def before(unit: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return two, one
 
 
-def draw(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """Saved rows (cells) of drawn tokens with their contexts, three 32-bit units each, from all texts of docs. The draw depends on the texts alone, so a task
-    that is run again draws the same."""
+def lines_of(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """From a batch with columns of saved units and, next to it, numbers of tokens: all units of ROWS rows in a row, and the length of each row."""
+    at = b.schema.names.index("units")
+    for k in range(0, b.num_rows, ROWS):
+        lengths = b.column(at + 1).slice(k, ROWS).to_numpy()
+        data = b"".join(b.column(at).slice(k, ROWS).to_pylist())
+        yield np.frombuffer(data, f"<u{len(data) // lengths.sum()}").astype(np.int32), lengths
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for texts in slices(b.column(0)):
-                unit, _, lengths, _ = units_of(v, texts)
-                cells = np.stack([*before(unit, lengths), unit], axis=1).astype("<u4")
-                if v.drawn < 1:
-                    seed = zlib.crc32(b"\0".join((t or "").encode("utf-8", "surrogatepass") for t in texts))
-                    cells = cells[np.random.default_rng(seed).random(len(cells)) < v.drawn]
-                if len(cells):
-                    yield pa.RecordBatch.from_arrays([pa.array([cells.tobytes()], pa.binary())], ["cells"])
-
-    return save(docs.select("text").mapInArrow(run, "cells binary"))
 
-
-def _scatter(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows and the sums of their values."""
-    order = np.argsort(rows, kind="stable")
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows; the order that brings equal ones together, and where each begins in it."""
+    order = np.argsort(rows.astype(np.uint16 if rows.max() < 1 << 16 else rows.dtype), kind="stable")  # 16 bits are sorted by radix
     sorted_ = rows[order]
     first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-    return sorted_[first], np.add.reduceat(values[order], first, axis=0)
+    return sorted_[first], order, first
+
+
+@dataclass
+class Noise:
+    """Draws units of given classes by their frequency, and the costs that the estimation subtracts from scores."""
+
+    size: int
+    many: int
+    whole: np.ndarray  # of the classes
+    class_cost: np.ndarray
+    unit_cost: np.ndarray
+    keep: np.ndarray  # by unit, as if its class were even: below this the unit itself is meant, else the other one (Walker's aliases)
+    other: np.ndarray
+
+    @staticmethod
+    def of(counts: np.ndarray, size: int) -> Noise:
+        n = len(counts)
+        p = (counts + 1) / (counts + 1).sum()
+        of = np.arange(n) // size
+        whole = np.bincount(of, p)
+        keep, other = np.ones(n, np.float32), np.arange(n)
+        for begin in range(0, n, size):
+            share = p[begin : begin + size] / whole[begin // size]
+            left = (share * len(share)).tolist()
+            less, more = [k for k, x in enumerate(left) if x < 1], [k for k, x in enumerate(left) if x >= 1]
+            while less and more:
+                k, m = less.pop(), more[-1]
+                keep[begin + k], other[begin + k] = left[k], begin + m
+                left[m] -= 1 - left[k]
+                if left[m] < 1:
+                    less.append(more.pop())
+        return Noise(size, n, whole, np.log(NOISE * whole).astype(np.float32), np.log(WORD_NOISE * p / whole[of]).astype(np.float32), keep, other)
+
+    def units(self, r: np.random.Generator, c: np.ndarray) -> np.ndarray:
+        """WORD_NOISE units for each class in c."""
+        begin = c * self.size
+        x = r.random((len(c), WORD_NOISE), np.float32) * np.minimum(self.size, self.many - begin)[:, None].astype(np.float32)
+        k = x.astype(np.int64)
+        x -= k
+        k += begin[:, None]
+        np.minimum(k, self.many - 1, out=k)
+        return np.where(x < self.keep.take(k), k, self.other.take(k))
 
 
 @dataclass
@@ -223,70 +262,99 @@ class LogBilinear:
     def log_probabilities(self, two: np.ndarray, one: np.ndarray, unit: np.ndarray) -> np.ndarray:
         """log10 probability of each unit after the two before it. Contexts, and contexts with classes, that occur repeatedly are normalised once."""
         context, which = np.unique(two.astype(np.int64) * len(self.bias) + one, return_inverse=True)
-        q = self.predicted(context // len(self.bias), context % len(self.bias))
-        c = unit // self.size
-        out = (q[which] * self.target[unit]).sum(axis=1) + self.bias[unit] + (q[which] * self.classes[c]).sum(axis=1) + self.class_bias[c]
+        q = np.ones((len(context), WIDTH + 1), np.float32)  # the last column is the bias's
+        q[:, :WIDTH] = self.predicted(context // len(self.bias), context % len(self.bias))
+        classes, units = np.column_stack([self.classes, self.class_bias]), np.column_stack([self.target, self.bias])
         norm = np.empty(len(q), np.float32)
-        for k in range(0, len(q), 8192):
-            norm[k : k + 8192] = _log_sum(q[k : k + 8192] @ self.classes.T + self.class_bias)
-        out = out - norm[which]
+        for k in range(0, len(q), SUMMED):
+            norm[k : k + SUMMED] = _log_sum(q[k : k + SUMMED] @ classes.T)
+        c = unit // self.size
         pair, at = np.unique(c.astype(np.int64) * len(q) + which, return_inverse=True)  # ascending by class
         inner = np.empty(len(pair), np.float32)
         edges = np.searchsorted(pair, np.arange(len(self.class_bias) + 1) * len(q))
         for k, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
-            part = slice(k * self.size, (k + 1) * self.size)
-            for z in range(x, y, 8192):
-                rows = pair[z : min(y, z + 8192)] - k * len(q)
-                inner[z : z + len(rows)] = _log_sum(q[rows] @ self.target[part].T + self.bias[part])
-        return (out - inner[at]) / math.log(10)
-
-    def learn(self, cells: np.ndarray, counts: np.ndarray, rate: float, seed: int) -> None:
+            part = units[k * self.size : (k + 1) * self.size].T
+            for z in range(x, y, SUMMED):
+                rows = q.take(pair[z : min(y, z + SUMMED)] - k * len(q), 0)
+                inner[z : z + len(rows)] = _log_sum(rows @ part) - rows @ classes[k]
+        inner += norm.take(pair % len(q))
+        return (np.einsum("bd,bd->b", q.take(which, 0), units.take(unit, 0)) - inner.take(at)) / math.log(10)
+
+    def learn(self, cells: np.ndarray, counts: np.ndarray, rate: float, seed: int | np.random.Generator, state: Learning | None = None) -> None:
         """Noise-contrastive estimation (Mnih and Teh 2012) over rows (two before, one before, unit), in this order of minibatches, with AdaGrad.
 
         A class is told from NOISE classes, drawn by their frequency and shared by a minibatch; a unit from WORD_NOISE units of its class, drawn by theirs.
+        A given state goes on; without, learning begins at rest.
         """
-        r, n = np.random.default_rng(seed), len(counts)
-        p = (counts + 1) / (counts + 1).sum()
-        of = np.arange(n) // self.size
-        whole = np.bincount(of, p, len(self.class_bias))
-        upto = np.cumsum(p)
-        below = np.concatenate([[0.0], np.cumsum(whole)])
-        class_cost = np.log(NOISE * whole).astype(np.float32)
-        unit_cost = np.log(WORD_NOISE * p / whole[of]).astype(np.float32)
-        squares = [np.full(x.shape, 1e-6, np.float32) for x in self.parameters()]
-
-        def move(k: int, rows, g: np.ndarray) -> None:
-            s = squares[k]
-            s[rows] += g * g
-            self.parameters()[k][rows] -= np.float32(rate) * g / np.sqrt(s[rows])
+        r, state = np.random.default_rng(seed), state or Learning.of(self, counts)
+        noise, classes, units = state.noise, np.column_stack([self.classes, self.class_bias]), np.column_stack([self.target, self.bias])
+        class_cost, unit_cost = noise.class_cost, noise.unit_cost
+
+        def move(x: np.ndarray, s: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
+            squares = s.take(rows, 0)
+            squares += g * g
+            s[rows] = squares
+            np.sqrt(squares, out=squares)
+            np.divide(g, squares, out=squares)
+            squares *= np.float32(rate)
+            x[rows] = x.take(rows, 0) - squares
 
         for at in range(0, len(cells), MINIBATCH):
             two, one, w = cells[at : at + MINIBATCH].T.astype(np.int64)
-            scale = np.float32(1 / len(w))
-            c, q = of[w], self.predicted(two, one)
-            k = r.choice(len(whole), NOISE, p=whole)
-            d = scale * _noise_slope((q * self.classes[c]).sum(axis=1) + self.class_bias[c] - class_cost[c])
-            f = scale * _sigmoid(q @ self.classes[k].T + self.class_bias[k] - class_cost[k])
-            dq = d[:, None] * self.classes[c] + f @ self.classes[k]
-            g_class = _scatter(np.concatenate([c, k]), np.concatenate([d[:, None] * q, f.T @ q]))
-            g_class_bias = _scatter(np.concatenate([c, k]), np.concatenate([d, f.sum(axis=0)]))
-            other = np.searchsorted(upto, below[c][:, None] + r.random((len(w), WORD_NOISE)) * whole[c][:, None]).clip(c[:, None] * self.size, np.minimum((c[:, None] + 1) * self.size, n) - 1)
-            t = scale * _noise_slope((q * self.target[w]).sum(axis=1) + self.bias[w] - unit_cost[w])
-            u = scale * _sigmoid(np.einsum("bd,bmd->bm", q, self.target[other]) + self.bias[other] - unit_cost[other])
-            dq += t[:, None] * self.target[w] + np.einsum("bm,bmd->bd", u, self.target[other])
-            g_target = _scatter(np.concatenate([w, other.ravel()]), np.concatenate([t[:, None] * q, (u[:, :, None] * q[:, None]).reshape(-1, WIDTH)]))
-            g_bias = _scatter(np.concatenate([w, other.ravel()]), np.concatenate([t, u.ravel()]))
-            g_position = np.stack([(dq * self.context[two]).sum(axis=0), (dq * self.context[one]).sum(axis=0)])
-            g_context = _scatter(np.concatenate([two, one]), np.concatenate([dq * self.position[0], dq * self.position[1]]))
-            move(0, *g_context)
-            move(1, slice(None), g_position)
-            move(2, *g_class)
-            move(3, *g_class_bias)
-            move(4, *g_target)
-            move(5, *g_bias)
+            n = len(w)
+            scale = np.float32(1 / n)
+            c = w // self.size
+            before_two, before_one = self.context.take(two, 0), self.context.take(one, 0)
+            q = np.ones((n, WIDTH + 1), np.float32)  # the last column is the bias's
+            q[:, :WIDTH] = before_two * self.position[0] + before_one * self.position[1]
+            k = np.searchsorted(state.upto, r.random(NOISE), side="right")
+            true_class, noise_class = classes.take(c, 0), classes.take(k, 0)
+            d = scale * _noise_slope(np.einsum("bd,bd->b", q, true_class) - class_cost[c])
+            f = scale * _sigmoid(q @ noise_class.T - class_cost[k])
+            other = noise.units(r, c)
+            true_unit, noise_unit = units.take(w, 0), units.take(other, 0)
+            t = scale * _noise_slope(np.einsum("bd,bd->b", q, true_unit) - unit_cost[w])
+            u = scale * _sigmoid(np.matmul(noise_unit, q[:, :, None])[:, :, 0] - unit_cost.take(other))
+            true_class *= d[:, None]
+            true_unit *= t[:, None]
+            dq = (true_class + f @ noise_class + true_unit + np.matmul(u[:, None], noise_unit)[:, 0])[:, :WIDTH]
+            rows, order, first = _distinct(np.concatenate([c, k]))
+            move(classes, state.classes, rows, np.add.reduceat(np.concatenate([d[:, None] * q, f.T @ q]).take(order, 0), first, axis=0))
+            rows, order, first = _distinct(np.concatenate([w, other.ravel()]))
+            by = q.take(np.where(order < n, order, (order - n) // WORD_NOISE), 0)
+            by *= np.concatenate([t, u.ravel()]).take(order)[:, None]
+            move(units, state.units, rows, np.add.reduceat(by, first, axis=0))
+            g_position = np.stack([np.einsum("bd,bd->d", dq, before_two), np.einsum("bd,bd->d", dq, before_one)])
+            rows, order, first = _distinct(np.concatenate([two, one]))
+            move(self.context, state.context, rows, np.add.reduceat(np.concatenate([dq * self.position[0], dq * self.position[1]]).take(order, 0), first, axis=0))
+            move(self.position, state.position, np.arange(2), g_position)
+        self.classes[:], self.class_bias[:] = classes[:, :WIDTH], classes[:, WIDTH]
+        self.target[:], self.bias[:] = units[:, :WIDTH], units[:, WIDTH]
+
+
+@dataclass
+class Learning:
+    """What learning has besides the model: AdaGrad's sums of squares, biases in the last column, and the noise."""
+
+    noise: Noise
+    upto: np.ndarray  # the classes' probabilities up to each
+    context: np.ndarray
+    position: np.ndarray
+    classes: np.ndarray
+    units: np.ndarray
+
+    @staticmethod
+    def of(m: LogBilinear, counts: np.ndarray) -> Learning:
+        noise = Noise.of(counts, m.size)
+        rest = lambda n, width: np.full((n, width), 1e-6, np.float32)
+        upto = np.cumsum(noise.whole)
+        return Learning(noise, upto / upto[-1], rest(len(m.bias), WIDTH), rest(2, WIDTH), rest(len(m.class_bias), WIDTH + 1), rest(len(m.bias), WIDTH + 1))
 
 
 def _log_sum(s: np.ndarray) -> np.ndarray:
+    """Logarithm of each row's sum of exponentials; s is overwritten."""
+    if s.size and -60 < s.min() and s.max() < 60:  # no sum can overflow or vanish
+        return np.log(np.exp(s, out=s) @ np.ones(s.shape[1], np.float32))
     most = s.max(axis=1, keepdims=True)
     return np.log(np.exp(s - most).sum(axis=1)) + most[:, 0]
 
@@ -300,37 +368,63 @@ def _noise_slope(x: np.ndarray) -> np.ndarray:
     return _sigmoid(x) - 1
 
 
-def fit(cells: DataFrame, v: Vocabulary) -> LogBilinear:
-    """The model of the drawn cells. TASKS tasks at a time learn from their shares, and their parameters are averaged by cells; ROUNDS times, at a falling
-    rate. The driver gets TASKS models of at most MOST_UNITS units."""
-    model = LogBilinear.new(v.counts)
+def averaged(made: DataFrame) -> np.ndarray | None:
+    """The average of tasks' models by tokens, from rows (task, piece, n, numbers): a piece's rows are added up by one task in the tasks' order, and the
+    driver gets one model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        total: Counter = Counter()
+        for b in batches:
+            for piece, n, numbers in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                sums[piece] = sums.get(piece, 0.0) + n * np.frombuffer(numbers.as_buffer(), "<f4").astype(float)
+                total[piece] += n
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(x / total[p]).astype("<f4").tobytes() for p, x in sums.items()], pa.binary())], ["piece", "numbers"])
+
+    whole = made.repartition("piece").sortWithinPartitions("piece", "task").mapInArrow(run, "piece int, numbers binary").collect()
+    return np.concatenate([np.frombuffer(r["numbers"], "<f4") for r in sorted(whole, key=lambda r: r["piece"])]) if whole else None
+
+
+def fit(lines: DataFrame, v: Vocabulary) -> LogBilinear:
+    """The model of all texts, given as rows (units, n_tokens). In each of ROUNDS rounds, at a falling rate, tasks learn from their texts, beginning with
+    the last round's model, and their models are averaged by tokens. The first takes a share of the texts (by a hash of their units, so a task that is
+    run again takes the same), the others take all: tasks that begin near each other can be averaged."""
+    counts = v.counts
+    model = LogBilinear.new(counts)
     drawn = max(1.0, v.drawn * v.total)
     passes = max(1, round(STEPS * MINIBATCH / (ROUNDS * drawn)))
     for k in range(ROUNDS):
-        rate = 0.2 / (1 + k)
+        share, rate = (1.0 if k else v.drawn), 0.2 / (1 + k)
         start = model
 
         def run(batches: Iterator[pa.RecordBatch], start: LogBilinear = start, rate: float = rate, k: int = k) -> Iterator[pa.RecordBatch]:
             mine, n = start.unpacked(np.frombuffer(start.packed(), "<f4")), 0
-            r = np.random.default_rng(k)
+            r, state = np.random.default_rng(k), Learning.of(mine, counts)
+
+            def learn(held: list[np.ndarray]) -> int:
+                part = np.concatenate(held)
+                for _ in range(passes):
+                    mine.learn(part[r.permutation(len(part))], counts, rate, r, state)
+                return len(part)
+
+            held: list[np.ndarray] = []
             for b in batches:
-                held, size = [], 0
-                for x in [*b.column(0), None]:  # a few texts' cells at a time are shuffled together
-                    if x is not None:
-                        held.append(np.frombuffer(x.as_py(), "<u4").reshape(-1, 3))
-                        size += len(held[-1])
-                    if held and (x is None or size >= 256 * MINIBATCH):
-                        part = np.concatenate(held)
-                        for _ in range(passes):
-                            mine.learn(part[r.permutation(len(part))], v.counts, rate, k)
-                        n, held, size = n + size, [], 0
+                for unit, lengths in lines_of(b):
+                    held.append(np.stack([*before(unit, lengths), unit], axis=1).astype("<u4"))
+                    if sum(map(len, held)) >= SHUFFLED * MINIBATCH:
+                        n += learn(held)
+                        held = []
+            n += learn(held) if held else 0
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([mine.packed()], pa.binary())], ["n", "model"])
-
-        made = cells.coalesce(TASKS).mapInArrow(run, "n long, model binary").collect()
-        if not made:
-            return model
-        model = model.unpacked(sum(np.frombuffer(x["model"], "<f4") * (x["n"] / sum(y["n"] for y in made)) for x in made))
+                task = TaskContext.get().partitionId()
+                pieces = [x.tobytes() for x in np.array_split(np.frombuffer(mine.packed(), "<f4"), PIECES)]
+                yield pa.RecordBatch.from_arrays([pa.array([task] * PIECES, pa.int32()), pa.array(range(PIECES), pa.int32()), pa.array([n] * PIECES, pa.int64()), pa.array(pieces, pa.binary())], ["task", "piece", "n", "numbers"])
+
+        mine = lines if share == 1 else lines.where(F.pmod(F.xxhash64("units"), F.lit(1 << 20)) < share * (1 << 20))
+        tasks = max(TASKS, math.ceil(share * v.total / TASK_TOKENS))
+        flat = averaged(mine.coalesce(tasks).mapInArrow(run, "task int, piece int, n long, numbers binary"))
+        model = model if flat is None else model.unpacked(flat)
     return model
 
 
@@ -340,8 +434,8 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modul
     Tokens are the words, A-Z lower-cased, and one end. Counts are over all texts whose crc32(id as text) modulo `modulus` isn't `held`. base_score
     is the add-one unigram log10 probability. score is log10 of the model's: the log-bilinear probability of a token's unit after
     the two units before it, normalised over all units; a word without a unit of its own has the probability of its rare unit times the
-    word's add-one share of that unit's words, among which, as in the base, all unknown ones share one place. Units, and the tokens
-    learnt, grow with the training tokens (constants above).
+    word's add-one share of that unit's words, among which, as in the base, all unknown ones share one place. Every training text is
+    learnt, and the units grow with the training tokens (constants above).
 
     Counts of at most FREQUENT words go to every worker; each text's other words, counted by text first, are joined with the whole table of
     counts by a shuffle. Of equally frequent words the first in byte order gets a unit. Null texts count as empty (one token); texts are
@@ -349,31 +443,47 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modul
     empty result; further columns are ignored, whatever their names.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), (bucket_of(doc_id, modulus) == held).alias("held_out"), F.col(text).cast("string").alias("text"))
-    known = d.where(~F.col("held_out"))
-    counts = save(count_words(known))
+    counts = save(count_words(d.where(~F.col("held_out"))))
     v = vocabulary(counts)
-    model = fit(draw(known, v), v)
+    kind = d.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 2 if len(v.counts) <= 1 << 16 else 4
         for b in batches:
             k = 0
             for part in slices(b.column(2)):
                 unit, place, lengths, cold = units_of(v, part)
                 begin = np.cumsum(lengths) - lengths
                 log = np.where(place >= 0, v.log[place], 0.0) if len(v.log) else np.zeros(len(place))
-                neural = model.log_probabilities(*before(unit, lengths), unit).astype(float) + np.where((unit > ENDED) & (unit <= RARES), log - v.rare_log[(unit - 1).clip(0, RARES - 1)], 0.0)
-                columns = [b.column(0).slice(k, len(part)), b.column(1).slice(k, len(part)), pa.array(lengths)]
+                rare = np.where((unit > ENDED) & (unit <= RARES), log - v.rare_log[(unit - 1).clip(0, RARES - 1)], 0.0)
+                columns = [b.column(0).slice(k, len(part)), b.column(1).slice(k, len(part))]
                 k += len(part)
-                columns += [pa.array(np.add.reduceat((place >= 0).astype(np.int64), begin)), pa.array(np.add.reduceat(log, begin) - lengths * v.base_log), pa.array(np.add.reduceat(neural, begin))]
-                columns.append(pa.array([list(Counter(c).items()) for c in cold], COLD))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "cold"])
+                columns += [pa.array(np.add.reduceat((place >= 0).astype(np.int64), begin)), pa.array(np.add.reduceat(log, begin) - lengths * v.base_log), pa.array(np.add.reduceat(rare, begin))]
+                ends = np.concatenate([[0], np.cumsum(lengths) * size]).astype(np.int32)
+                columns.append(pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(unit.astype(f"<u{size}").tobytes())]))
+                columns += [pa.array(lengths), pa.array([list(Counter(c).items()) for c in cold], COLD)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_known", "base_score", "score", "units", "n_tokens", "cold"])
 
-    kind = d.schema["doc_id"].dataType.simpleString()
-    part = d.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, cold map<string, long>")
+    part = d.mapInArrow(units, f"doc_id {kind}, held_out boolean, n_known long, base_score double, score double, units binary, n_tokens long, cold map<string, long>")
     part = save(part.withColumn("row", F.monotonically_increasing_id()))
+    model = fit(part.where(~F.col("held_out")).select("units", "n_tokens"), v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            neural = []
+            for unit, lengths in lines_of(b):
+                two, one = before(unit, lengths)
+                each = [model.log_probabilities(two[k : k + SCORED], one[k : k + SCORED], unit[k : k + SCORED]) for k in range(0, len(unit), SCORED)]
+                neural.append(np.add.reduceat(np.concatenate(each).astype(float), np.cumsum(lengths) - lengths))
+            if neural:
+                score = np.concatenate(neural) + b.column(4).to_numpy()
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(score), b.column(6), b.column(7)], ["doc_id", "held_out", "n_known", "base_score", "score", "n_tokens", "row"])
+
+    scored = part.select("doc_id", "held_out", "n_known", "base_score", "score", "units", "n_tokens", "row")
+    scored = save(scored.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_known long, base_score double, score double, n_tokens long, row long"))
     cold = part.select("row", F.explode("cold").alias("word", "times"))
     more = cold.join(counts, "word").groupBy("row").agg(F.sum(F.log10(F.col("c") + 1) * F.col("times")).alias("log"), F.sum("times").alias("n"))  # a word without a count adds log10(1)
-    out = part.drop("cold").join(more, "row", "left")
+    out = scored.join(more, "row", "left")
     log, n = F.coalesce("log", F.lit(0.0)), F.coalesce("n", F.lit(0))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + n).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"), (F.col("base_score") + log).alias("base_score"), (F.col("score") + log).alias("score"))
 

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -352,6 +353,38 @@ def test_what_the_language_model_learns_grows(spark):
     assert len(lm.vocabulary(rows).counts) - 1 - lm.RARES == 2000
 
 
+def test_every_training_text_is_learnt(spark, monkeypatch):
+    """In a corpus of which one token in ten thousand would be drawn: only contexts that are learnt move their vectors, and noise moves none."""
+    made = {}
+    vocabulary, fit = lm.vocabulary, lm.fit
+    monkeypatch.setattr(lm, "vocabulary", lambda counts: replace(vocabulary(counts), total=10**14))
+    monkeypatch.setattr(lm, "fit", lambda lines, v: made.setdefault("m", (fit(lines, v), v))[0])
+    data = [(k, f"w{k} x{k} y{k}") for k in range(150)]
+    assert lm.lm_scores(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).count() == 150
+    model, v = made["m"]
+    at = [v.unit[v.words[f"{w}{k}".encode()]] for k, _ in data if zlib.crc32(str(k).encode()) % 7 != 2 for w in "wxy"]
+    assert len(set(at)) == len(at) > 300 and min(at) > lm.RARES
+    begun = lm.LogBilinear.new(v.counts)
+    assert (model.context[at] != begun.context[at]).any(axis=1).mean() == 1
+
+
+def test_models_of_tasks_are_averaged_by_tokens(spark):
+    rows = [(t, p, n, np.full(3, x + p, "<f4").tobytes()) for t, n, x in ((0, 1, 1.0), (1, 3, 5.0)) for p in (1, 0)]
+    assert lm.averaged(spark.createDataFrame(rows, "task int, piece int, n long, numbers binary")).tolist() == [4, 4, 4, 5, 5, 5]
+    assert lm.averaged(spark.createDataFrame([], "task int, piece int, n long, numbers binary")) is None
+
+
+def test_noise_is_drawn_by_frequency_within_a_class():
+    counts = np.array([50.0, 30, 20, 10, 5, 5, 3, 2, 1, 1, 0])
+    noise = lm.Noise.of(counts, 4)
+    drawn = noise.units(np.random.default_rng(1), np.repeat([0, 1, 2], 50_000))
+    for c in range(3):
+        part = counts[c * 4 : c * 4 + 4] + 1
+        found = np.bincount(drawn[c * 50_000 : (c + 1) * 50_000].ravel(), minlength=len(counts))
+        assert found[c * 4 : c * 4 + 4].sum() == found.sum()
+        assert found[c * 4 : c * 4 + 4] / found.sum() == pytest.approx(part / part.sum(), abs=0.01)
+
+
 def test_lm_beats_base_on_held_out(spark):
     r = lm.op3_lm_scores(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
     assert r[0] > r[1] + 0.2
