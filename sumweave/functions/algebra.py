@@ -43,6 +43,21 @@ def product(factors: list[Column]) -> Column | None:
     return out
 
 
+def held(n: Column) -> Column:
+    """A wide count; more than 38 digits are an error, also where Spark would make them null."""
+    return F.coalesce(n, F.raise_error(F.lit("more rows than 38 digits can count")).cast(WIDE))
+
+
+def wide_total(n: Column) -> Column:
+    """The sum of wide counts, null of no rows."""
+    return F.coalesce(F.sum(n), F.when(F.count(F.lit(1)) > 0, held(F.lit(None).cast(WIDE))))
+
+
+def narrow(n: Column) -> Column:
+    """A wide count as BIGINT; a number that doesn't fit is an error, never another number."""
+    return F.when(n <= F.lit(2**63 - 1), n.cast("bigint")).otherwise(F.raise_error(F.concat(n.cast("string"), F.lit(" rows are more than a BIGINT can count"))).cast("bigint"))
+
+
 def weighted(value: Column, kind: T.DataType, weight: Column | None) -> Column:
     """value * weight, exact for integral types: longs are multiplied as decimals and brought back after summing."""
     if weight is None:

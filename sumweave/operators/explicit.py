@@ -26,11 +26,13 @@ def agg_over_join(
     aggregates: Mapping[str, tuple[str, str | None]],
     unique: Mapping[str, Sequence[Sequence[str]]] | None = None,
     root: str | None = None,
+    wide: bool = False,
 ) -> DataFrame:
     """Groups and aggregates of an inner equi-join of any acyclic shape.
 
     on: pairs ("a.x", "b.y") of equal columns. group_by: "a.x" names, or alias to name. aggregates: alias to (function, "a.x"), function one of
     sum, count, avg, min, max; ("count", None) counts rows. unique: columns that identify the rows of a relation, which then isn't condensed.
+    wide: counts of rows, and no other aggregates, as DECIMAL(38, 0), on the way too.
     Bail if summaries by key can't answer it.
 
         agg_over_join({"o": orders, "l": lineitem}, [("o.o_orderkey", "l.l_orderkey")], ["o.o_custkey"], {"q": ("sum", "l.l_quantity"), "n": ("count", None)})
@@ -40,7 +42,7 @@ def agg_over_join(
     if any(arg is None and fn != "count" for fn, arg in aggregates.values()):
         raise Bail("only count needs no argument")
     keys = {r: [frozenset(u) for u in (unique or {}).get(r, [])] for r in relations}
-    q = AggOverJoin({r: Relation(r, df, keys[r]) for r, df in relations.items()}, edges_of([(_split(a), _split(b)) for a, b in on]), groups, made)
+    q = AggOverJoin({r: Relation(r, df, keys[r]) for r, df in relations.items()}, edges_of([(_split(a), _split(b)) for a, b in on]), groups, made, wide=wide)
     return aggregate_over_join(q, root)
 
 

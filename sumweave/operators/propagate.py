@@ -89,6 +89,15 @@ class _Summary:
         have = {c.split("__", 1)[1] for c in columns if c.startswith(f"{node.name}__")}
         return any(u <= have for u in self.q.relations[node.name].unique)
 
+    def multiplicity(self, name: str) -> Column:
+        n = F.col(f"_n_{name}")
+        return n.cast(A.WIDE) if self.q.wide else n
+
+    def stands_for(self, weights: dict[str, Column]) -> Column | None:
+        """How many rows of the join a row stands for; None: 1."""
+        out = A.product(list(weights.values()))
+        return A.held(out) if self.q.wide and out is not None else out
+
     def condensed(self, node: Node) -> tuple[DataFrame, Column | None]:
         """The relation, one row for each combination of its join keys and groups; its own multiplicity (None: 1)."""
         rows = self.rows(node)
@@ -102,7 +111,7 @@ class _Summary:
         parts = {self.part(a, p): x for a in own for p, x in A.own_parts(a.fn, F.col(self.column(a.relation, a.column)), self.kinds[a], None).items()}
         n = f"_n_{node.name}"
         out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias(n), *(x.alias(p) for p, x in parts.items()))
-        return out, F.col(n)
+        return out, self.multiplicity(node.name)
 
     def joined(self, node: Node) -> tuple[DataFrame, dict[str, Column], bool]:
         """A relation with the messages of its children; multiplicities by sender; whether its own rows are condensed."""
@@ -119,13 +128,13 @@ class _Summary:
             for x in on[1:]:
                 condition = condition & x
             df = df.join(message, condition, "inner")
-            weights[c.name] = F.col(f"_n_{c.name}")
+            weights[c.name] = self.multiplicity(c.name)
         return df, weights, own is not None
 
     def totals(self, node: Node, weights: dict[str, Column], condensed: bool) -> dict[str, Column]:
         """Aggregate expressions for the multiplicity and all parts of aggregates in the relation and below it."""
-        everything = A.product(list(weights.values()))
-        out = {f"_n_{node.name}": F.count(F.lit(1)) if everything is None else F.sum(everything)}
+        everything = self.stands_for(weights)
+        out = {f"_n_{node.name}": F.count(F.lit(1)) if everything is None else A.wide_total(everything) if self.q.wide else F.sum(everything)}
         for a in self.aggregates_below(node):
             sender = node.name if a.relation == node.name else next(c.name for c in node.children if a.relation in c.below())
             others = A.product([w for s, w in weights.items() if s != sender])
@@ -138,7 +147,7 @@ class _Summary:
 
     def products(self, node: Node, weights: dict[str, Column]) -> dict[str, Column]:
         """What totals would give where every group is one row of condensed relations."""
-        everything = A.product(list(weights.values()))
+        everything = self.stands_for(weights)
         out = {f"_n_{node.name}": F.lit(1).cast("bigint") if everything is None else everything}
         for a in self.aggregates_below(node):
             sender = node.name if a.relation == node.name else next(c.name for c in node.children if a.relation in c.below())
@@ -171,6 +180,8 @@ def aggregate_over_join(q: AggOverJoin, root: str | None = None, loose: frozense
     join key and that is the group, the exchange serves the condensing, the join and the result. loose: relations whose rows hardly
     repeat; unless they are leaves they go into the join as they are.
     """
+    if q.wide and any(a.fn != "count_star" for a in q.aggregates):
+        raise Bail("only rows are counted wide")
     top = tree(q, root)
     if not q.twins:  # relations given as one DataFrame
         names = list(q.relations)

@@ -54,6 +54,7 @@ class AggOverJoin:
     conditions: int = 0  # equalities as the query has them
     #: For relations of the same rows: (one, other) to the columns of one's df under which it has those of the other.
     twins: dict[tuple[str, str], dict[str, str]] = field(default_factory=dict)
+    wide: bool = False  # rows are counted as DECIMAL(38, 0) instead of BIGINT; no other aggregates
 
 
 @dataclass
